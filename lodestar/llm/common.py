@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -48,7 +49,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """mapInArrow for functions of one record batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,6 +66,30 @@ def row_struct(df: DataFrame, name: str = "row") -> F.Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
 
 
+def packed(df: DataFrame, text: str = "text") -> DataFrame:
+    """`df` with its string column `text` as zstandard frames in `packed`, null as null: half of what a shuffle would write of it."""
+    import zstandard
+
+    others = [c for c in df.columns if c != text]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        z = zstandard.ZstdCompressor(level=1)
+        out = [None if t is None else z.compress(t) for t in (x.as_buffer() if x.is_valid else None for x in batch.column(text))]
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(out, pa.binary())], [*others, "packed"])
+
+    schema = T.StructType([*[df.schema[c] for c in others], T.StructField("packed", T.BinaryType())])
+    return map_arrow(df.select(*others, text), run, schema)
+
+
+def unpack(frames: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of each frame, one at a time; nothing for null."""
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    for x in frames:
+        yield z.decompress(x.as_py()) if x.is_valid else b""
+
+
 def utf8(value: str | None) -> bytes:
     return b"" if value is None else value.encode("utf-8", "surrogatepass")
 

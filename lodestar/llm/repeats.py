@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, utf8
+from .common import materialize, packed, table, unpack, utf8
 from .shingles import mix
 
 LENGTH = 200
@@ -192,8 +192,9 @@ _KEYS = ["id", "th"]  # a document: its id (the least integer for null) and a ha
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row's key is its id and a hash that tells rows with equal ids apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.hash(text).alias("th"), text.alias("text"))
 
 
 def _anchored(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -224,8 +225,7 @@ def _cut_segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
     """The wanted segments of each text by block, those that overlap in one piece, so that no byte is twice in a block."""
     for b in batches:
         rows = []
-        for doc, th, text, wanted in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), b.column("text"), b.column("wanted").to_pylist(), strict=True):
-            raw = utf8(text.as_py())
+        for doc, th, raw, wanted in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), unpack(b.column("packed")), b.column("wanted").to_pylist(), strict=True):
             last: dict[int, list[int]] = {}
             for block, place in sorted((w["block"], w["place"]) for w in wanted):
                 s, e = segment(len(raw), place, length)
@@ -237,7 +237,7 @@ def _cut_segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
                 last[block] = [s, e]
             rows += [(block, doc, th, s, raw[s:e]) for block, (s, e) in last.items()]
         cols = zip(*rows, strict=True) if rows else [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["block", "id", "th", "start", "bytes"])
 
 
@@ -253,26 +253,33 @@ def _indexed(length: int):
 
 
 def repeated_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, th, marks): for each document with repeated strings the byte spans that they cover."""
+    """(id, th, marks): for each document with repeated strings the byte spans that they cover.
+
+    Anchors are found twice rather than kept: the first time only to count
+    them, so that what is written follows the repeated ones.
+    """
     keyed = _keyed(docs, id_col, text_col)
     long_ones = keyed.filter(F.octet_length("text") >= length)
-    found = long_ones.mapInArrow(lambda bs: _anchored(bs, length), "id long, th long, place int, anchor long, digest long")
-    found = materialize(found, "anchors")
-    variants = found.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "place")).alias("rep"))
+    found = long_ones.mapInArrow(lambda bs: _anchored(bs, length), "id long, th int, place int, anchor long, digest long")
+    # combined before the shuffle: an anchor that a third of all documents hold is one row a task
+    count = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    often = materialize(count.filter("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
+    members = materialize(found.join(often, "anchor"), "members")
+    mixed = members.filter("mixed")
+    variants = mixed.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "place")).alias("rep"))
     variants = materialize(variants, "variants")
-    groups = variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1").select("anchor")
     # segments that occur twice or more, byte for byte
-    twice = found.join(variants.filter("n > 1").select("anchor", "digest"), ["anchor", "digest"])
+    twice = members.filter("not mixed").unionByName(mixed.join(variants.filter("n > 1").select("anchor", "digest"), ["anchor", "digest"]))
     whole = twice.select("id", "th", F.greatest(F.lit(0), F.col("place") + GRAM - length).alias("lo"), (F.col("place") + length).alias("hi"))
-    # segments that share an anchor and differ
-    differ = variants.join(groups, "anchor", "left_semi")
+    # segments that share an anchor and differ; where all kinds of an anchor occur twice, none is left to ask for
+    single = variants.groupBy("anchor").agg(F.min("n").alias("least")).filter("least = 1").select("anchor")
+    differ = variants.join(single, "anchor", "left_semi")
     n_blocks = max(1, differ.count() * (2 * length) // block_bytes)
     wanted = differ.select("rep.*", F.pmod(F.xxhash64("anchor"), F.lit(n_blocks)).alias("block"))
     wanted = wanted.groupBy(_KEYS).agg(F.collect_list(F.struct("block", "place")).alias("wanted"))
-    segments = keyed.join(wanted, _KEYS).mapInArrow(lambda bs: _cut_segments(bs, length), "block long, id long, th long, start int, bytes binary")
-    partial = segments.dropDuplicates(["block", "id", "th", "start"]).groupBy("block").applyInPandas(_indexed(length), "id long, th long, lo int, hi int")
-    marks = whole.unionByName(partial).groupBy(_KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
-    return marks
+    segments = packed(long_ones).join(wanted, _KEYS).mapInArrow(lambda bs: _cut_segments(bs, length), "block long, id long, th int, start int, bytes binary")
+    partial = segments.dropDuplicates(["block", "id", "th", "start"]).groupBy("block").applyInPandas(_indexed(length), "id long, th int, lo int, hi int")
+    return whole.unionByName(partial).groupBy(_KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
 
 
 def merge(marks: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
@@ -293,13 +300,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others: both lose what they share. Texts shorter than `length` lose nothing.
     """
     marks = repeated_marks(docs, id_col, text_col, length)
-    rows = _keyed(docs, id_col, text_col).join(marks, _KEYS, "left").select("id", "text", "marks")
+    rows = packed(_keyed(docs, id_col, text_col)).join(marks, _KEYS, "left").select("id", "packed", "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, found in zip(b.column("text"), b.column("marks").to_pylist(), strict=True):
-                raw = utf8(text.as_py())
+            for raw, found in zip(unpack(b.column("packed")), b.column("marks").to_pylist(), strict=True):
                 spans = merge([(m["lo"], m["hi"]) for m in found], len(raw)) if found else []
                 at, kept = 0, []
                 for s, e in spans:
