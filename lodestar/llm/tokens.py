@@ -15,8 +15,8 @@ import unicodedata
 
 from tokenizers import Tokenizer
 
-UNIT_LIMIT = 250_000
-PIECE_LIMIT = 400_000
+UNIT_LIMIT = 120_000
+PIECE_LIMIT = 200_000
 
 _TRAIL = ".,;:!?"
 # White space as the vocabularies' patterns have it; Python's own class also holds \x1c to \x1f.
