@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,6 +77,13 @@ def row_struct(df: DataFrame, name: str = "row") -> F.Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
 
 
+def free_caches() -> None:
+    """In a worker that has tokenized before: drop the token caches."""
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if tokens is not None:
+        tokens.release()
+
+
 def packed(df: DataFrame, text: str = "text") -> DataFrame:
     """`df` with its string column `text` as zstandard frames in `packed`, null as null: half of what a shuffle would write of it."""
     import zstandard

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, row_struct, table
+from .common import free_caches, materialize, row_struct, table
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -74,6 +74,7 @@ def measure(text: str | None, window: int = WINDOW) -> tuple[int, int, int, int,
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    free_caches()
     for b in batches:
         found = [measure(t.as_py()) for t in b.column("text")]
         cols = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(METRICS))]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, row_struct, table, utf8
+from .common import free_caches, materialize, row_struct, table, utf8
 
 RUN = 3
 _WINDOWS = "rid binary, id long, fp long, windows array<struct<start:int,digest:binary>>"
@@ -49,6 +49,7 @@ def fingerprints(lines: list[bytes], run: int) -> list[tuple[int, list[tuple[int
 
 
 def _winnowed(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
+    free_caches()
     for b in batches:
         rows = []
         for rid, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):

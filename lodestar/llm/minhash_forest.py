@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, row_struct, table
+from .common import free_caches, materialize, row_struct, table
 from .components import components
 from .shingles import MinHash, mix, set_digest, shingles_of
 
@@ -41,6 +41,7 @@ _TREE = mix(np.arange(1, N_TREES + 1, dtype=np.uint64))
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    free_caches()
     for b in batches:
         counts, digests, keys, small = [], [], [], []
         for s in shingles_of(b.column("text").to_pylist(), k):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, packed, table, unpack, utf8
+from .common import free_caches, materialize, packed, table, unpack, utf8
 from .shingles import mix
 
 LENGTH = 200
@@ -198,6 +198,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _anchored(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    free_caches()
     for b in batches:
         raws = [utf8(t.as_py()) for t in b.column("text")]
         who, places, hashes, digests = [], [], [], []

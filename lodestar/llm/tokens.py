@@ -15,8 +15,8 @@ import unicodedata
 
 from tokenizers import Tokenizer
 
-UNIT_LIMIT = 120_000
-PIECE_LIMIT = 200_000
+UNIT_LIMIT = 400_000
+PIECE_LIMIT = 450_000
 
 _TRAIL = ".,;:!?"
 # White space as the vocabularies' patterns have it; Python's own class also holds \x1c to \x1f.
@@ -166,6 +166,11 @@ class ByteEncoder:
 _ENCODERS: dict = {}
 
 
+def release() -> None:
+    """Drops the caches; operators that need the memory call this in workers that have encoded before."""
+    _ENCODERS.clear()
+
+
 def encoder(kind: type, path: str):
     """One encoder per worker and file."""
     if (kind, path) not in _ENCODERS:
