@@ -12,7 +12,7 @@ order at a time, until its parts are small enough or MAX_DEPTH is reached.
 Candidates whose signatures agree well enough are confirmed on full sets.
 
 Two texts with a similarity of 0.8 miss each other in all 32 orders at depth 4
-with probability 0.59 ** 32 < 1e-7, and the signature filter lies five standard
+with probability 0.59 ** 32 < 1e-7, and the signature filter lies four standard
 deviations below. In regions that go down to depth 8 the former is 0.003.
 """
 
@@ -33,8 +33,8 @@ from .shingles import MinHash, mix, set_digest, shingles_of
 N_TREES, DEPTH, MAX_DEPTH = 32, 4, 8
 REGION_LIMIT = 4096
 PERCENT = 80
-#: Least share of equal signature bytes for a candidate, five standard deviations below 0.8.
-LEAST_AGREEMENT = 0.62
+#: Least share of equal signature bytes for a candidate, four standard deviations below 0.8.
+LEAST_AGREEMENT = 0.66
 
 _minhash = MinHash(N_TREES * DEPTH)
 _TREE = mix(np.arange(1, N_TREES + 1, dtype=np.uint64))
@@ -82,24 +82,33 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
 
-def _across(group: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs of one region between different components."""
+def _across(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Candidate pairs of one region between different components; similar sets have similar sizes."""
     group = group.drop_duplicates("id").sort_values("id")
     sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
-    ids, part = group["id"].to_numpy(), group["component"].to_numpy()
+    ids, part, size = group["id"].to_numpy(), group["component"].to_numpy(), group["size"].to_numpy()
     a, b = [], []
     # all members against those outside the region's largest component, in blocks
     names, sizes = np.unique(part, return_counts=True)
     main = names[sizes.argmax()]
     rest = np.flatnonzero(part != main)
     for i in rest.tolist():
-        near = np.flatnonzero(((sig == sig[i]).mean(axis=1) >= LEAST_AGREEMENT) & (part != part[i]) & ((part == main) | (ids > ids[i])))
+        able = (part != part[i]) & ((part == main) | (ids > ids[i])) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+        able = np.flatnonzero(able)
+        near = able[(sig[able] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT]
         a.append(np.minimum(ids[near], ids[i]))
         b.append(np.maximum(ids[near], ids[i]))
     none = np.zeros(0, np.int64)
     return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
 
+def _searched(percent: int):
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        return _across(group, percent)
+
+    return search
+
+
 class Forest:
     """The steps over one table of (id, text)."""
 
@@ -110,7 +119,7 @@ class Forest:
         classes = self.signed.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")).filter("rep is not null")
         self.classes = materialize(classes, "classes")
         own = self.signed.filter("digest is not null").join(self.classes, "digest").filter("id = rep")
-        self.nodes = materialize(own.select("id", "keys", "sig").dropDuplicates(["id", "sig"]), "nodes")
+        self.nodes = materialize(own.select("id", "keys", "sig", F.col("n_shingles").alias("size")).dropDuplicates(["id", "sig"]), "nodes")
 
     def links(self, candidates: DataFrame) -> DataFrame:
         """The candidate pairs (a, b) that hold on the full sets."""
@@ -135,9 +144,11 @@ class Forest:
         regions = spread.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         members = materialize(spread.join(regions, "key").select("key", "id", "first", "n"), "regions")
         stars = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-        sig = self.nodes.select("id", "sig")
-        near = stars.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        near = near.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
+        sig = self.nodes.select("id", "sig", "size")
+        near = stars.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("size").alias("size_a")), "a")
+        near = near.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("size").alias("size_b")), "b")
+        # similar sets have similar sizes
+        near = near.filter(100 * F.least("size_a", "size_b") >= self.percent * F.greatest("size_a", "size_b")).select("a", "b", "sig_a", "sig_b")
         first = self.links(near.mapInArrow(_agreement, "a long, b long").distinct())
         found = components(first)
         # regions that still hold two components or more
@@ -156,7 +167,7 @@ class Forest:
         while True:
             last = depth >= MAX_DEPTH
             ready = rest if last else rest.filter(F.col("n") <= REGION_LIMIT)
-            pairs = ready.groupBy("key").applyInPandas(lambda g: _across(g), "a long, b long")
+            pairs = ready.groupBy("key").applyInPandas(_searched(self.percent), "a long, b long")
             out = pairs if out is None else out.union(pairs)
             if last or not rest.filter(F.col("n") > REGION_LIMIT).limit(1).count():
                 return out
@@ -172,7 +183,7 @@ class Forest:
         told = told.join(keys.withColumnRenamed("base", "base0"), ["id", "base0"])
         told = told.withColumn("key", F.xxhash64("key", F.substring("sig", (at + 1).cast("int"), F.lit(2))))
         n = told.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", "n")
-        return materialize(told.drop("n", "tree").join(n, "key").select("key", "id", "component", "n", "sig", "base0"), "deeper")
+        return materialize(told.drop("n", "tree").join(n, "key").select("key", "id", "component", "n", "sig", "size", "base0"), "deeper")
 
 
 def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
