@@ -59,8 +59,8 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             digests.append(set_digest(s))
             keys.append(acc.view(np.int64))
             small.append((sig & np.uint32(255)).astype(np.uint8).tobytes())
-        cols = [b.column("id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["id", "n_shingles", "digest", "keys", "sig"])
+        cols = [b.column("id"), b.column("text_key"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["id", "text_key", "n_shingles", "digest", "keys", "sig"])
 
 
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,12 +109,17 @@ def _searched(percent: int):
     return search
 
 
+def _text_key(text: str) -> F.Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
 class Forest:
     """The steps over one table of (id, text)."""
 
     def __init__(self, rows: DataFrame, k: int, percent: int):
         self.rows, self.k, self.percent = rows, k, percent
-        signed = rows.mapInArrow(lambda bs: _signed(bs, k), "id long, n_shingles long, digest binary, keys array<long>, sig binary")
+        keyed = rows.withColumn("text_key", _text_key("text"))
+        signed = keyed.mapInArrow(lambda bs: _signed(bs, k), "id long, text_key binary, n_shingles long, digest binary, keys array<long>, sig binary")
         self.signed = materialize(signed, "signatures")
         classes = self.signed.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")).filter("rep is not null")
         self.classes = materialize(classes, "classes")
@@ -187,7 +192,7 @@ class Forest:
 
 
 def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of docs.
+    """(doc_id, n_shingles, component_id, kept, text_key), one row per row of docs; text_key is the MD5 of the text.
 
     Texts with equal shingle sets are one class, whose smallest id stands for
     it, so copies never meet in pairs. A null text, or one without words, has no
@@ -199,22 +204,22 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT, id_col: str
     forest = Forest(rows, k, percent)
     found = forest.run()
     of_class = forest.classes.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class_component"))
-    out = forest.signed.select("id", "n_shingles", "digest").join(of_class, "digest", "left")
+    out = forest.signed.select("id", "text_key", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.coalesce("class_component", "id")
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_key")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the smallest id of their group; of rows that repeat an id one stays. Null ids stay unless their group has an id."""
     found = near_duplicates(docs, k, percent, id_col, text_col)
-    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(row_struct(docs), F.col(id_col).cast("long").alias("id"))
-    out = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    rows = docs.select(row_struct(docs), F.col(id_col).cast("long").alias("id"), _text_key(text_col).alias("text_key"))
+    out = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key")), "left_semi")
     return out.filter("id is not null").dropDuplicates(["id"]).unionByName(out.filter("id is null")).select("row.*")
 
 
 def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2).drop("text_key")
 
 
 QUERIES = {"op8_minhash_forest": op8_minhash_forest}
