@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, make_folder, materialize, shared_path, table, utf8
+from .common import file_system, make_folder, materialize, packed, shared_path, table, unpack
 
 MAGIC = b"WARC/1.1\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -67,18 +67,17 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     first = keyed.filter(F.col("n") >= min_revisit).groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     refers = keyed.join(first, "key").filter((F.col("page_id") != F.col("first")) | F.col("page_id").isNull()).filter(F.col("first").isNotNull())
     refers = refers.select(F.col("page_id").alias("id"), F.col("first").alias("refers_to"), F.col("key").alias("of")).distinct()
-    joined = rows.withColumn("of_key", F.sha2("payload", 256)).join(refers, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("of_key") == F.col("of")), "left")
+    joined = packed(rows.withColumn("of_key", F.sha2("payload", 256)), "payload").join(refers, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("of_key") == F.col("of")), "left")
     folder = make_folder(shared_path(spark, "warc"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, out, size, n = f"{folder}/{uuid.uuid4().hex}.warc", None, 0, 0
         try:
             for b in batches:
-                for page, url, body, ref in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+                for page, url, raw, ref in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), unpack(b.column(2)), b.column(3).to_pylist(), strict=True):
                     if out is None:
                         system, name = file_system(path)
                         out = system.open_output_stream(name)
-                    raw = body.as_py()
                     rec = record(page, url, raw, ref, digest_of(raw))
                     out.write(rec)
                     size, n = size + len(rec), n + 1
@@ -88,7 +87,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([n], pa.int64())], ["path", "size", "n_records"])
 
-    return materialize(joined.select("page_id", "url", "payload", "refers_to").mapInArrow(write, "path string, size long, n_records long"), "warc-manifest")
+    return materialize(joined.select("page_id", "url", "packed", "refers_to").mapInArrow(write, "path string, size long, n_records long"), "warc-manifest")
 
 
 def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
