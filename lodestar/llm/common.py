@@ -84,14 +84,14 @@ def free_caches() -> None:
         tokens.release()
 
 
-def packed(df: DataFrame, text: str = "text") -> DataFrame:
+def packed(df: DataFrame, text: str = "text", level: int = 1) -> DataFrame:
     """`df` with its string column `text` as zstandard frames in `packed`, null as null: half of what a shuffle would write of it."""
     import zstandard
 
     others = [c for c in df.columns if c != text]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        z = zstandard.ZstdCompressor(level=1)
+        z = zstandard.ZstdCompressor(level=level)
         out = [None if t is None else z.compress(t) for t in (x.as_buffer() if x.is_valid else None for x in batch.column(text))]
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(out, pa.binary())], [*others, "packed"])
 

@@ -67,7 +67,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     first = keyed.filter(F.col("n") >= min_revisit).groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     refers = keyed.join(first, "key").filter((F.col("page_id") != F.col("first")) | F.col("page_id").isNull()).filter(F.col("first").isNotNull())
     refers = refers.select(F.col("page_id").alias("id"), F.col("first").alias("refers_to"), F.col("key").alias("of")).distinct()
-    joined = packed(rows.withColumn("of_key", F.sha2("payload", 256)), "payload").join(refers, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("of_key") == F.col("of")), "left")
+    joined = packed(rows.withColumn("of_key", F.sha2("payload", 256)), "payload", level=6).join(refers, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("of_key") == F.col("of")), "left")
     folder = make_folder(shared_path(spark, "warc"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
