@@ -9,11 +9,15 @@ that hold on the full shingle sets give components. Regions in which two or
 more components remain are then searched wholly across components, on
 signatures; a region over REGION_LIMIT goes deeper, by two more values of its
 order at a time, until its parts are small enough or MAX_DEPTH is reached.
-Candidates whose signatures agree well enough are confirmed on full sets.
+Candidates whose signatures agree well enough are confirmed on full sets. Two
+texts often share several regions; only the first REPEATS of these emit the pair.
 
 Two texts with a similarity of 0.8 miss each other in all 32 orders at depth 4
 with probability 0.59 ** 32 < 1e-7, and the signature filter lies four standard
 deviations below. In regions that go down to depth 8 the former is 0.003.
+Signatures here are bytes, so that two texts can seem to share a region that
+they do not (0.13 % an order at 0.8); for three such regions to hide a pair has
+a probability below 1e-5.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from .shingles import MinHash, mix, set_digest, shingles_of
 N_TREES, DEPTH, MAX_DEPTH = 32, 4, 8
 REGION_LIMIT = 4096
 PERCENT = 80
+REPEATS = 3
 #: Least share of equal signature bytes for a candidate, four standard deviations below 0.8.
 LEAST_AGREEMENT = 0.66
 
@@ -86,7 +91,8 @@ def _across(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Candidate pairs of one region between different components; similar sets have similar sizes."""
     group = group.drop_duplicates("id").sort_values("id")
     sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
-    ids, part, size = group["id"].to_numpy(), group["component"].to_numpy(), group["size"].to_numpy()
+    ids, part, size, ready = (group[c].to_numpy() for c in ("id", "component", "size", "ready"))
+    earlier = np.arange(int(group["tree"].iloc[0]))
     a, b = [], []
     # all members against those outside the region's largest component, in blocks
     names, sizes = np.unique(part, return_counts=True)
@@ -96,6 +102,9 @@ def _across(group: pd.DataFrame, percent: int) -> pd.DataFrame:
         able = (part != part[i]) & ((part == main) | (ids > ids[i])) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
         able = np.flatnonzero(able)
         near = able[(sig[able] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT]
+        shared = (sig[near] == sig[i]).reshape(len(near), N_TREES, DEPTH).all(axis=2)[:, earlier]
+        shared &= ((ready[near] & ready[i])[:, None] >> earlier & 1).astype(bool)
+        near = near[shared.sum(axis=1) < REPEATS]
         a.append(np.minimum(ids[near], ids[i]))
         b.append(np.maximum(ids[near], ids[i]))
     none = np.zeros(0, np.int64)
@@ -145,9 +154,9 @@ class Forest:
 
     def run(self) -> DataFrame:
         """(node, component) of all linked classes."""
-        spread = self.nodes.select("id", F.explode("keys").alias("key"))
+        spread = self.nodes.select("id", F.posexplode("keys").alias("tree", "key"))
         regions = spread.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        members = materialize(spread.join(regions, "key").select("key", "id", "first", "n"), "regions")
+        members = materialize(spread.join(regions, "key").select("key", "tree", "id", "first", "n"), "regions")
         stars = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
         sig = self.nodes.select("id", "sig", "size")
         near = stars.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("size").alias("size_a")), "a")
@@ -159,8 +168,11 @@ class Forest:
         # regions that still hold two components or more
         named = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_regions = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        rest = named.join(open_regions, "key").select("key", "id", "component", "n").join(sig, "id")
-        more = self._deeper(rest)
+        rest = materialize(named.join(open_regions, "key").select("key", "tree", "id", "component", "n"), "open-members")
+        # bit t: the node's region of order t is searched whole at the first depth; 0 for ids that repeat
+        bits = F.bit_or(F.expr("shiftleft(1L, tree)"))
+        ready = rest.filter(F.col("n") <= REGION_LIMIT).groupBy("id").agg(F.when(F.count(F.lit(1)) == F.bit_count(bits), bits).alias("ready"))
+        more = self._deeper(rest.join(sig.join(ready, "id", "left").withColumn("ready", F.coalesce("ready", F.lit(0).cast("long"))), "id"))
         done = first.select("a", "b")
         second = self.links(more.distinct().join(done, ["a", "b"], "left_anti"))
         return components(first.union(second))
@@ -178,13 +190,14 @@ class Forest:
                 return out
             depth += 2
             rest = self._split(rest.filter(F.col("n") > REGION_LIMIT), depth)
+            rest = rest.withColumns({"tree": F.lit(0), "ready": F.lit(0).cast("long")})
 
     def _split(self, rest: DataFrame, depth: int) -> DataFrame:
         """Regions of two more values of their order; (id, key) tells the order."""
         keys = self.nodes.select("id", F.posexplode("keys").alias("tree", "base"))
         # the values after the first DEPTH of order t stand at DEPTH * (t + 1), round the end of the signature
         at = F.pmod(F.col("tree") * DEPTH + depth - 2, F.lit(N_TREES * DEPTH))
-        told = rest.withColumn("base0", F.coalesce(F.col("base0") if "base0" in rest.columns else F.col("key"), F.col("key")))
+        told = rest.drop("tree", "ready").withColumn("base0", F.coalesce(F.col("base0") if "base0" in rest.columns else F.col("key"), F.col("key")))
         told = told.join(keys.withColumnRenamed("base", "base0"), ["id", "base0"])
         told = told.withColumn("key", F.xxhash64("key", F.substring("sig", (at + 1).cast("int"), F.lit(2))))
         n = told.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", "n")
