@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestar.llm.common import materialize, table
 from lodestar.llm.decontamination import decontaminate
 from lodestar.llm.host_quality import keep_good
-from lodestar.llm.line_dedup import remove_repeated_lines
+from lodestar.llm.line_dedup import OVER_WORDS, remove_repeated_lines
 from lodestar.llm.minhash_forest import drop_near_duplicates
 from lodestar.llm.packing import pack_documents
 
@@ -17,7 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return remove_repeated_lines(docs)
+    return remove_repeated_lines(docs, over_words=OVER_WORDS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -284,6 +284,31 @@ def test_line_dedup(docs, texts, empty, odd):
     assert line_dedup.remove_repeated_lines(odd).count() == 4
 
 
+def test_line_dedup_long_lines(spark, docs, texts):
+    over = line_dedup.OVER_WORDS
+    held = [[x.strip() for x in (t or "").encode().split(b"\n") if x.strip()] for t in texts]
+
+    def windows(h):
+        for n in (1, 2, 3):
+            for k in range(len(h) - n + 1):
+                if n == 3 or n == len(h) or sum(len(x.split()) for x in h[k : k + n]) > over:
+                    yield k, tuple(h[k : k + n])
+
+    first: dict = {}
+    for i, h in enumerate(held):
+        for k, w in windows(h):
+            first[w] = min(first.get(w, (i, k)), (i, k))
+    for r in line_dedup.dedup_lines(docs, over_words=over).collect():
+        gone = {j for k, w in windows(held[r.row.doc_id]) if first[w] != (r.row.doc_id, k) for j in range(k, k + len(w))}
+        assert (r.n_lines, r.n_removed) == (len(held[r.row.doc_id]), len(gone))
+    line = lambda n, tag: " ".join(f"{tag}{i}" for i in range(n))
+    two = f"{line(30, 'b')}\n{line(30, 'c')}"
+    planted = [line(60, "a"), f"x\n{line(60, 'a')}\ny", f"p\n{two}\nq", f"{two}\nz\nv", "short one", "short one", f"{line(50, 'd')}\ne\nf", f"g\n{line(50, 'd')}\nh"]
+    df = spark.createDataFrame([(i, t, "s", None, None) for i, t in enumerate(planted)], SCHEMA)
+    kept = {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(df, over_words=over).collect()}
+    assert kept == {i: t for i, t in enumerate(planted) if i not in (1, 3, 5)} | {1: "x\ny", 3: "z\nv"}
+
+
 @pytest.mark.parametrize("size", [1 << 22, 700])
 def test_warc(spark, texts, size):
     magic = warc.record(99, "u", b"inner", None, warc.digest_of(b"inner")).decode()
