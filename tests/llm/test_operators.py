@@ -176,6 +176,19 @@ def test_quality(docs, texts, empty, odd):
     assert host_quality.judge(odd).count() == 4
 
 
+def test_quality_host_verdict(spark):
+    words = lambda n, tag: " ".join(f"{tag}word{i}" for i in range(n))
+    lines = "\n".join([words(60, "a"), "same line", "same line", "same line"])
+    symbols = words(40, "b") + " ##" * 6
+    rows = [(h, words(30, f"{h}{i}") if i >= bad else "junk", "host" + h) for h, bad in (("x", 2), ("y", 40), ("z", 4)) for i in range(100)]
+    rows = [(i, t, h, None, None) for i, (_, t, h) in enumerate(rows)]
+    rows += [(1000 + i, t, f"host{h}", None, None) for i, (t, h) in enumerate([(lines, "x"), (lines, "y"), (symbols, "x"), (symbols, "y")])]
+    got = {r.row.doc_id: r for r in host_quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[k].soft_failed and not got[k].base_failed for k in range(1000, 1004))
+    assert got[1000].host_rate < 0.1 and 0.3 < got[1001].host_rate < 0.5
+    assert [got[k].kept for k in range(1000, 1004)] == [True, False, False, False]
+
+
 def brute_repeats(texts, n=200):
     raws = [(t or "").encode() for t in texts]
     seen = collections.Counter(r[k : k + n] for r in raws for k in range(len(r) - n + 1))
