@@ -26,7 +26,9 @@ from .common import file_system, make_folder, materialize, packed, shared_path,
 MAGIC = b"WARC/1.1\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 RANGE_BYTES = 4 << 20
-HEADER_LIMIT = 1 << 16
+#: Bytes read beyond a range at first; a header that is longer is read on, by as much again as there is of it.
+HEADER_STEP = 1 << 16
+INCOMPLETE: tuple[dict[str, str], int] = ({}, -1)
 
 
 def digest_of(payload: bytes) -> str:
@@ -91,19 +93,21 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 
 def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
-    """The fields of the header at `at` and where its block begins; None if it isn't one."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER_LIMIT)
-    if end < 0 or not data.startswith(MAGIC, at):
-        return None
+    """The fields of the header at `at` and where its block begins; None if it isn't one, INCOMPLETE if `data` ends inside it."""
+    if not data.startswith(MAGIC, at):
+        return INCOMPLETE if MAGIC.startswith(data[at : at + len(MAGIC)]) else None
     fields: dict[str, str] = {}
-    for line in data[at + len(MAGIC) : end].split(b"\r\n"):
-        name, colon, value = line.partition(b": ")
+    at += len(MAGIC)
+    while (end := data.find(b"\r\n", at)) != at:
+        if end < 0:
+            return INCOMPLETE
+        name, colon, value = data[at:end].partition(b": ")
         if not colon:
             return None
         fields[name.decode("latin-1").lower()] = value.decode("utf-8", "replace")
-    if not fields.get("content-length", "").isdigit():
-        return None
-    return fields, end + 4
+        at = end + 2
+    n = fields.get("content-length", "")
+    return (fields, at + 2) if n.isascii() and n.isdigit() and len(n) < 19 else None
 
 
 def _load(path: str, start: int, end: int) -> bytes:
@@ -117,12 +121,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every possible record start of a range: where the steps from it leave the range."""
     for b in batches:
         for path, size, start, end in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            data = _load(path, start, min(size, end + len(MAGIC) + HEADER_LIMIT))
+            data = _load(path, start, min(size, end + len(MAGIC) + HEADER_STEP))
             step: dict[int, int] = {}
             at = data.find(MAGIC)
             while 0 <= at < end - start:
                 found = _header(data, at)
-                if found:
+                if found is INCOMPLETE and start + len(data) < size:
+                    data += _load(path, start + len(data), min(size, start + len(data) + max(HEADER_STEP, len(data) - at)))
+                    continue
+                if found and found is not INCOMPLETE:
                     after = start + found[1] + int(found[0]["content-length"]) + 4
                     if after <= size:
                         step[start + at] = after
@@ -154,12 +161,15 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, base, rows = _load(path, at, end), at, []
             while at < end:
                 found = _header(data, at - base)
-                if found is None or base + found[1] + int(found[0]["content-length"]) + 4 > base + len(data):
-                    # the last record of the range may go on beyond it
-                    more = min(size, base + (found[1] + int(found[0]["content-length"]) + 4 if found else at - base + HEADER_LIMIT))
-                    if base + len(data) >= more:
+                if found is None:
+                    raise ValueError(f"broken record at {at} in {path}")
+                # the last record of the range may go on beyond it
+                have = base + len(data)
+                want = have + max(HEADER_STEP, have - at) if found is INCOMPLETE else base + found[1] + int(found[0]["content-length"]) + 4
+                if want > have:
+                    if want > size and found is not INCOMPLETE or have >= size:
                         raise ValueError(f"broken record at {at} in {path}")
-                    data = data + _load(path, base + len(data), more)
+                    data += _load(path, have, min(size, want))
                     continue
                 fields, block = found
                 n = int(fields["content-length"])

@@ -337,6 +337,15 @@ def test_warc(spark, texts, size):
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("size", [1 << 22, 7000])
+def test_warc_long_header(spark, size):
+    urls = ["http://x/0", "http://x/" + "u" * 100_000, None, "http://x/3", "http://x/" + "é: " * 40_000, "http://x/" + "v" * 65_536, "http://x/6"]
+    pages = [(i, u, f"page {i}" * (i + 1)) for i, u in enumerate(urls)] + [(7, "http://x/7", "WARC/1.1\r\n" + "a" * 100_000), (8, "http://x/8", "last")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type) for r in warc.read_archives(warc.write_archives(df), size).collect()}
+    assert got == {i: (len(t), warc.digest_of(t.encode()), "response") for i, _, t in pages}
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
