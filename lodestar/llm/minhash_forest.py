@@ -7,14 +7,15 @@ has at least that depth. Every text is first compared with its regions' smallest
 id (one candidate per text and order, however large the region). The links
 that hold on the full shingle sets give components. Regions in which two or
 more components remain are then searched wholly across components, on
-signatures; a region over REGION_LIMIT goes deeper, by two more values of its
-order at a time, until its parts are small enough or MAX_DEPTH is reached.
+signatures; one over REGION_LIMIT in blocks, in which the members outside its
+largest component meet all its members, a block with a block in a task.
 Candidates whose signatures agree well enough are confirmed on full sets. Two
 texts often share several regions; only the first REPEATS of these emit the pair.
 
 Two texts with a similarity of 0.8 miss each other in all 32 orders at depth 4
-with probability 0.59 ** 32 < 1e-7, and the signature filter lies four standard
-deviations below. In regions that go down to depth 8 the former is 0.003.
+with probability 0.59 ** 32 < 1e-7, whatever the sizes of their regions. The
+signature filter, four standard deviations below, drops them with
+probability 9e-5.
 Signatures here are bytes, so that two texts can seem to share a region that
 they do not (0.13 % an order at 0.8); for three such regions to hide a pair has
 a probability below 1e-5.
@@ -34,7 +35,7 @@ from .common import free_caches, materialize, row_struct, table
 from .components import components
 from .shingles import MinHash, mix, set_digest, shingles_of
 
-N_TREES, DEPTH, MAX_DEPTH = 32, 4, 8
+N_TREES, DEPTH = 32, 4
 REGION_LIMIT = 4096
 PERCENT = 80
 REPEATS = 3
@@ -87,33 +88,42 @@ def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
 
-def _across(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Candidate pairs of one region between different components; similar sets have similar sizes."""
+def _columns(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
     group = group.drop_duplicates("id").sort_values("id")
-    sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
-    ids, part, size, ready = (group[c].to_numpy() for c in ("id", "component", "size", "ready"))
-    earlier = np.arange(int(group["tree"].iloc[0]))
+    sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), N_TREES * DEPTH)
+    return sig, *(group[c].to_numpy() for c in ("id", "component", "size", "ready"))
+
+
+def _across(left: pd.DataFrame, right: pd.DataFrame, main: int, percent: int) -> pd.DataFrame:
+    """Candidate pairs of one region between different components, `left` without its component `main`; similar sets have similar sizes."""
+    sig, ids, part, size, ready = _columns(right)
+    earlier = np.arange(int(right["tree"].iloc[0])) if len(right) else np.zeros(0, np.int64)
     a, b = [], []
-    # all members against those outside the region's largest component, in blocks
-    names, sizes = np.unique(part, return_counts=True)
-    main = names[sizes.argmax()]
-    rest = np.flatnonzero(part != main)
-    for i in rest.tolist():
-        able = (part != part[i]) & ((part == main) | (ids > ids[i])) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+    for sig_i, id_i, part_i, size_i, ready_i in zip(*_columns(left), strict=True):
+        able = (part != part_i) & ((part == main) | (ids > id_i)) & (100 * np.minimum(size, size_i) >= percent * np.maximum(size, size_i))
         able = np.flatnonzero(able)
-        near = able[(sig[able] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT]
-        shared = (sig[near] == sig[i]).reshape(len(near), N_TREES, DEPTH).all(axis=2)[:, earlier]
-        shared &= ((ready[near] & ready[i])[:, None] >> earlier & 1).astype(bool)
+        near = able[(sig[able] == sig_i).mean(axis=1) >= LEAST_AGREEMENT]
+        shared = (sig[near] == sig_i).reshape(len(near), N_TREES, DEPTH).all(axis=2)[:, earlier]
+        shared &= ((ready[near] & ready_i)[:, None] >> earlier & 1).astype(bool)
         near = near[shared.sum(axis=1) < REPEATS]
-        a.append(np.minimum(ids[near], ids[i]))
-        b.append(np.maximum(ids[near], ids[i]))
+        a.append(np.minimum(ids[near], id_i))
+        b.append(np.maximum(ids[near], id_i))
     none = np.zeros(0, np.int64)
     return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
 
-def _searched(percent: int):
+def _whole(percent: int):
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        names, sizes = np.unique(group["component"], return_counts=True)
+        main = names[sizes.argmax()]
+        return _across(group[group["component"] != main], group, main, percent)
+
+    return search
+
+
+def _cell(percent: int):
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        return _across(group, percent)
+        return _across(group[group["left"]], group[group["right"]], group["main"].iloc[0], percent)
 
     return search
 
@@ -169,39 +179,30 @@ class Forest:
         named = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_regions = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
         rest = materialize(named.join(open_regions, "key").select("key", "tree", "id", "component", "n"), "open-members")
-        # bit t: the node's region of order t is searched whole at the first depth; 0 for ids that repeat
+        # bit t: the node's region of order t is searched; 0 for ids that repeat
         bits = F.bit_or(F.expr("shiftleft(1L, tree)"))
-        ready = rest.filter(F.col("n") <= REGION_LIMIT).groupBy("id").agg(F.when(F.count(F.lit(1)) == F.bit_count(bits), bits).alias("ready"))
-        more = self._deeper(rest.join(sig.join(ready, "id", "left").withColumn("ready", F.coalesce("ready", F.lit(0).cast("long"))), "id"))
+        ready = rest.groupBy("id").agg(F.when(F.count(F.lit(1)) == F.bit_count(bits), bits).alias("ready"))
+        more = self._searched(rest.join(sig.join(ready, "id", "left").withColumn("ready", F.coalesce("ready", F.lit(0).cast("long"))), "id"))
         done = first.select("a", "b")
         second = self.links(more.distinct().join(done, ["a", "b"], "left_anti"))
         return components(first.union(second))
 
-    def _deeper(self, rest: DataFrame) -> DataFrame:
-        """Candidates across components from regions of adaptive depth."""
-        out, depth = None, DEPTH
+    def _searched(self, rest: DataFrame) -> DataFrame:
+        """Candidates across components from all regions; those over REGION_LIMIT are dealt to cells of two blocks."""
         rest = materialize(rest, "open-regions")
-        while True:
-            last = depth >= MAX_DEPTH
-            ready = rest if last else rest.filter(F.col("n") <= REGION_LIMIT)
-            pairs = ready.groupBy("key").applyInPandas(_searched(self.percent), "a long, b long")
-            out = pairs if out is None else out.union(pairs)
-            if last or not rest.filter(F.col("n") > REGION_LIMIT).limit(1).count():
-                return out
-            depth += 2
-            rest = self._split(rest.filter(F.col("n") > REGION_LIMIT), depth)
-            rest = rest.withColumns({"tree": F.lit(0), "ready": F.lit(0).cast("long")})
-
-    def _split(self, rest: DataFrame, depth: int) -> DataFrame:
-        """Regions of two more values of their order; (id, key) tells the order."""
-        keys = self.nodes.select("id", F.posexplode("keys").alias("tree", "base"))
-        # the values after the first DEPTH of order t stand at DEPTH * (t + 1), round the end of the signature
-        at = F.pmod(F.col("tree") * DEPTH + depth - 2, F.lit(N_TREES * DEPTH))
-        told = rest.drop("tree", "ready").withColumn("base0", F.coalesce(F.col("base0") if "base0" in rest.columns else F.col("key"), F.col("key")))
-        told = told.join(keys.withColumnRenamed("base", "base0"), ["id", "base0"])
-        told = told.withColumn("key", F.xxhash64("key", F.substring("sig", (at + 1).cast("int"), F.lit(2))))
-        n = told.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", "n")
-        return materialize(told.drop("n", "tree").join(n, "key").select("key", "id", "component", "n", "sig", "size", "base0"), "deeper")
+        pairs = rest.filter(F.col("n") <= REGION_LIMIT).groupBy("key").applyInPandas(_whole(self.percent), "a long, b long")
+        big = rest.filter(F.col("n") > REGION_LIMIT)
+        if not big.limit(1).count():
+            return pairs
+        main = big.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "component")).alias("m"))
+        big = big.join(main.select("key", F.col("m.component").alias("main")), "key")
+        big = big.withColumn("blocks", F.ceil(F.col("n") / REGION_LIMIT)).withColumn("at", F.pmod(F.xxhash64("id"), "blocks"))
+        outside, every = F.col("component") != F.col("main"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        # a member is on the right of the cells (i, at), and outside the main component on the left of the cells (at, j)
+        right = big.withColumns({"j": F.col("at"), "i": F.explode(every), "right": F.lit(True)}).withColumn("left", outside & (F.col("i") == F.col("at")))
+        left = big.filter(outside).withColumns({"i": F.col("at"), "j": F.explode(every), "right": F.lit(False), "left": F.lit(True)}).filter("i <> j")
+        cells = right.unionByName(left).drop("blocks", "at", "n")
+        return pairs.union(cells.groupBy("key", "i", "j").applyInPandas(_cell(self.percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -282,6 +282,20 @@ def test_near_duplicates_odd(empty, odd):
     assert minhash_forest.drop_near_duplicates(odd).count() == 2
 
 
+@pytest.mark.parametrize("limit", [4096, 1])
+def test_near_duplicates_large_region(monkeypatch, spark, limit):
+    """Two texts that share the first values of one order and no more meet, however large the region."""
+    monkeypatch.setattr(minhash_forest, "REGION_LIMIT", limit)
+    n = minhash_forest.N_TREES * minhash_forest.DEPTH
+    sigs = {i: bytes([7] * 4 + [10 * i] * 4 + [9] * (n - 8)) for i in range(3)}
+    rows = [(i, [5] + [100 * i + t for t in range(1, minhash_forest.N_TREES)], bytearray(s), 100) for i, s in sigs.items()]
+    forest = minhash_forest.Forest.__new__(minhash_forest.Forest)
+    forest.percent = 80
+    forest.nodes = spark.createDataFrame(rows, "id long, keys array<long>, sig binary, size long")
+    forest.links = lambda candidates: candidates.filter("a = 1 and b = 2").select("a", "b")
+    assert {(r.node, r.component) for r in forest.run().collect()} == {(1, 1), (2, 1)}
+
+
 def test_line_dedup(docs, texts, empty, odd):
     first: dict = {}
     held = [[x.strip() for x in (t or "").encode().split(b"\n") if x.strip()] for t in texts]
