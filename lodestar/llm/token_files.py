@@ -95,8 +95,7 @@ def write_shard(folder: str, keys: list[int | None], chunks: list[bytes], width:
             out.write(np.frombuffer(c, "<u4").astype(f"<u{width}").tobytes())
     null = np.array([k is None for k in keys], bool)
     values = np.array([0 if k is None else k for k in keys], "<i8")
-    _, first = np.unique(np.where(null, -1, values), return_index=True)
-    first = first[~null[first]]
+    first = first_places(values, null)
     own = values[first]
     shift = build_hash(own)
     slot = slots_of(own, shift, len(own))
@@ -111,6 +110,12 @@ def write_shard(folder: str, keys: list[int | None], chunks: list[bytes], width:
     return path
 
 
+def first_places(values: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """Where each key that is not null stands first."""
+    known = np.flatnonzero(~null)
+    return known[np.unique(values[known], return_index=True)[1]]
+
+
 class Shard:
     """One shard, read back."""
 
@@ -182,8 +187,12 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 ends = np.cumsum(shard.lengths)
                 listed = ends - shard.lengths
                 # null keys, and a key's later documents, have their place in the key list alone
-                later = (shard.null == 1) | ~found | (place != listed)
-                place, count = np.where(later, listed, place), np.where(later, shard.lengths, count)
+                indexed = np.zeros(len(keys), bool)
+                indexed[first_places(keys, shard.null == 1)] = True
+                wrong = indexed & ~(found & (place == listed) & (count == shard.lengths))
+                if wrong.any():
+                    raise ValueError(f"the index of {path} does not find key {keys[wrong][0]} in its place")
+                place, count = np.where(indexed, place, listed), np.where(indexed, count, shard.lengths)
                 with shard.payload() as f:
                     sums = [zlib.crc32(shard.ids(f, p, c).astype("<u4").tobytes()) for p, c in zip(place.tolist(), count.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(

@@ -7,6 +7,7 @@ import random
 import re
 import struct
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,6 +243,21 @@ def test_token_files(docs, texts, empty, odd):
     assert token_files.read_token_files(token_files.write_token_files(odd)).count() == 4
 
 
+def test_token_files_broken_index(spark):
+    df = spark.createDataFrame([(k, f"text {i}", None, None, None) for i, k in enumerate([None, -1, 5, 5, 7])], SCHEMA).coalesce(1)
+    manifest = token_files.write_token_files(df)
+    assert token_files.read_token_files(manifest).count() == 5
+    for r in manifest.collect():
+        shard = token_files.Shard(r.path)
+        system, base = token_files.file_system(r.path)
+        raw = bytearray(Path(f"{base}.index").read_bytes())
+        if len(shard.place):
+            raw[-16 * len(shard.place)] ^= 1  # the place of slot 0
+            Path(f"{base}.index").write_bytes(raw)
+    with pytest.raises(Exception, match="in its place"):
+        token_files.read_token_files(manifest).collect()
+
+
 def test_perfect_hash():
     import numpy as np
 
