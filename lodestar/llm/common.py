@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -77,11 +80,31 @@ def row_struct(df: DataFrame, name: str = "row") -> F.Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
 
 
+def trim() -> None:
+    """Gives a worker's unused memory back to the system, which an idle worker would keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system's C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_caches() -> None:
     """In a worker that has tokenized before: drop the token caches."""
     tokens = sys.modules.get(f"{__package__}.tokens")
-    if tokens is not None:
-        tokens.release()
+    if tokens is not None and tokens.release():
+        trim()
+
+
+def freed(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`fn`, a function for mapInArrow, which gives its worker's memory back when its task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            trim()
+
+    return run
 
 
 def packed(df: DataFrame, text: str = "text", level: int = 1) -> DataFrame:

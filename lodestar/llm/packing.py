@@ -1,19 +1,23 @@
 """Operator 1: best-fit packing with certified bin counts.
 
 Documents become token ids and an end id, and those over the capacity are cut.
-Pieces are dealt to partitions by a hash; each partition packs its pieces by
-best-fit decreasing and certifies the count with a lower bound from
-dual-feasible functions. Bins with room in partitions that miss their bound,
-and each partition's last open bins, go into a pool; the pool is dealt to an
-eighth as many partitions, whose documents thus meet, and packed again, until
-one partition has packed the last pool. A pool holds open bins alone, so it
-shrinks round by round.
+Pieces are dealt evenly to partitions; each packs its pieces by best-fit
+decreasing and certifies its number of bins with a lower bound from
+dual-feasible functions. A partition that meets its bound is certified and
+keeps still. One with a gap of g bins releases its emptiest bins, just as many
+as have room for g bins between them; what they hold is dealt to new
+partitions, so that documents of different partitions meet, and packed again.
+That goes on while it saves bins. Where more bins are left than the bound of
+the whole table asks for (each partition's bound is rounded up), its emptiest
+bins, again as many as have the room, are exchanged in the same way. No partition ever holds
+more than a fixed number of pieces, the last ones included.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,16 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import freed, materialize, table
 from .tokens import WordEncoder, encoder
 
 CAPACITY = 2048
 END_ID = 0
 PIECES_PER_PARTITION = 60_000
-FAN_IN = 8
-#: A bin is open if more than this share of it is free.
-OPEN_SHARE = 1 / 256
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, released boolean, bound long, bins long"
+#: Partitions of exchanged pieces are larger by this factor each time, up to POOL_PIECES.
+FAN_IN, POOL_PIECES = 8, 400_000
+#: Bins with less room than this share of the capacity are never exchanged for the bound of the whole table.
+LEAST_ROOM = 1 / 256
+#: So many times all bins with room are exchanged at most, unless a time saves a quarter of the gap.
+LAST_ROUNDS = 4
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, room long, released boolean, bound long, bins long"
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -41,9 +48,15 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     2 to 20 the rounding function, x if (k + 1)x divides evenly by the
     capacity, else floor((k + 1)x / capacity) * capacity / k.
     """
-    if not len(lengths):
+    return lower_bound_of_counts(dict(enumerate(np.bincount(lengths, minlength=capacity + 1).tolist())), capacity) if len(lengths) else 0
+
+
+def lower_bound_of_counts(counts: dict[int, int], capacity: int) -> int:
+    """lower_bound() of counts by length."""
+    count = np.zeros(capacity + 1, np.int64)
+    count[list(counts)] = list(counts.values())
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1, dtype=np.int64)
     cum_n, cum_s = np.cumsum(count), np.cumsum(count * size)
     t = np.arange(1, capacity // 2 + 1)
@@ -83,15 +96,19 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, n
 
 
-def _pack(capacity: int, last: bool):
+def _pack(capacity: int):
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", na_position="first").reset_index(drop=True)
         lengths = group["length"].to_numpy()
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
         bound = lower_bound(lengths, capacity)
-        room = capacity - np.bincount(bins, weights=lengths, minlength=n)
-        released = room > capacity * OPEN_SHARE
-        return group.assign(bin=bins, offset=offsets, released=np.zeros(len(group), bool) if last else released[bins], bound=bound, bins=n)
+        room = capacity - np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
+        emptiest = np.argsort(-room, kind="stable")
+        released = np.zeros(n, bool)
+        if n > bound:
+            enough = np.searchsorted(np.cumsum(room[emptiest]), (n - bound) * capacity) + 1
+            released[emptiest[: max(enough, 2)]] = True
+        return group.assign(bin=bins, offset=offsets, room=room[bins], released=released[bins], bound=bound, bins=n)
 
     return pack
 
@@ -105,8 +122,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
         step = 4 * capacity
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = enc.encode(text.as_py()) + end
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1)), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -116,32 +133,71 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
             )
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return src.mapInArrow(freed(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
+
+
+def table_bound(pieces: DataFrame, capacity: int) -> int:
+    """The lower bound of the whole table, from its counts of lengths (at most `capacity` of them)."""
+    counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    return lower_bound_of_counts({r["length"]: r["n"] for r in counts}, capacity)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _dealt(pool: DataFrame, turn: int, n: int, capacity: int, per_partition: int) -> DataFrame:
+    """The pool's pieces, `n` of them, packed in partitions of bounded size. Its rows are dealt by their number, so equal rows spread too."""
+    most = max(per_partition, min(POOL_PIECES, per_partition * FAN_IN**turn))
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(max(1, -(-n // most))))
+    return materialize(pool.withColumn("part", part).groupBy("part").applyInPandas(_pack(capacity), PACKED), f"packed-{turn}").withColumn("turn", F.lit(turn).cast("long"))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION) -> DataFrame:
     """Adds sequence_id and offset to (doc_id, piece, start, length, ids_crc32).
 
-    Lengths lie between 1 and the capacity. Repeated rows are packed as often
-    as they occur, null ids like others; no pieces, no rows. `bound` and
-    `bins` are those of the partition that placed the piece.
+    `pieces` must be a written table. Lengths lie between 1 and the capacity.
+    Repeated rows are packed as often as they occur, null ids like others; no
+    pieces, no rows. `bound` and `bins` are those of the partition that placed
+    the piece.
     """
-    n_parts = max(1, -(-pieces.count() // per_partition))
-    done, pool, turn = [], pieces, 0
+    columns = pieces.columns
+    n_bins = lambda df: df.select("turn", "part", "bin").distinct().count()
+    packed = _dealt(pieces, 0, pieces.count(), capacity, per_partition)
+    pool, done, turn = packed.filter("released"), [packed.filter(~F.col("released"))], 0
+    # a pool is packed anew as long as that saves bins; one that doesn't keeps its bins
+    while n := pool.count():
+        turn += 1
+        again = _dealt(pool.select(columns), turn, n, capacity, per_partition)
+        if n_bins(again) >= n_bins(pool):
+            done.append(pool)
+            break
+        pool = again.filter("released")
+        done.append(again.filter(~F.col("released")))
+    target, share, last = table_bound(pieces, capacity), 2, 0
     while True:
-        last = n_parts == 1
-        dealt = pool.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(n_parts)))
-        packed = materialize(dealt.groupBy("part").applyInPandas(_pack(capacity, last), PACKED), f"packed-{turn}")
-        sequence = F.lit(turn << 56) + F.col("part") * F.lit(1 << 24) + F.col("bin")
-        done.append(packed.filter(~F.col("released")).withColumn("sequence_id", sequence))
-        if last:
+        rooms = sorted(((r["room"], r["n"]) for r in _union(done).select("turn", "part", "bin", "room").distinct().groupBy("room").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+        gap, room, least = sum(n for _, n in rooms) - target, 0, capacity
+        if gap <= 0:
             break
-        pool = packed.filter("released").select(pieces.columns)
-        n_parts, turn = max(1, n_parts // FAN_IN), turn + 1
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bound", "bins")
+        for r, n in rooms:
+            if room >= share * gap * capacity or r < max(1, capacity * LEAST_ROOM):
+                break
+            room, least = room + r * n, r
+        pool = materialize(_union(done).filter(F.col("room") >= least), "packed-open")
+        turn += 1
+        again = _dealt(pool.select(columns), turn, pool.count(), capacity, per_partition)
+        saved = n_bins(pool) - n_bins(again)
+        if saved > 0:
+            done = [*(d.filter(F.col("room") < least) for d in done), again]
+        if 4 * saved < gap:
+            last += room < share * gap * capacity
+            if last >= LAST_ROUNDS or last and saved <= 0:
+                break  # all bins with room have met
+            share *= 4
+    out = _union(done)
+    sequence = F.shiftleft("turn", 56) + F.col("part") * F.lit(1 << 24) + F.col("bin")
+    return out.withColumn("sequence_id", sequence).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bound", "bins")
 
 
 def tokenizer_file(name: str) -> str:

@@ -80,6 +80,7 @@ def test_packing(docs, texts, empty, odd):
                 at += n
             assert at <= 256
         assert len(bins) <= -(-total // 256) + 2
+        assert packing.table_bound(pieces, 256) <= len(bins)
     assert packing.pack_documents(empty).count() == 0
     assert packing.pack_documents(odd).count() == 4
 
@@ -92,6 +93,48 @@ def test_lower_bound():
     assert packing.lower_bound(np.array([], int), 10) == 0
 
 
+def test_packing_certified_partitions_keep_still(spark):
+    """Pieces of which no two fit in a bin: each partition meets its bound, and nothing is exchanged or written again."""
+    rows = [(i, 0, 0, 150 + i % 20, i) for i in range(400)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(pieces, 256, 50).collect()
+    assert len({r.sequence_id for r in got}) == 400 and {r.sequence_id >> 56 for r in got} == {0}
+    assert all(r.bound == r.bins for r in got)
+
+
+def test_packing_bound_against_optimum():
+    """The bound never exceeds the least number of bins, found by trying all packings."""
+    import numpy as np
+
+    def least(sizes, capacity):
+        best = [len(sizes)]
+
+        def place(k, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if k == len(sizes):
+                best[0] = len(rooms)
+                return
+            for r in set(rooms):
+                if r >= sizes[k]:
+                    rest = list(rooms)
+                    rest.remove(r)
+                    place(k + 1, [*rest, r - sizes[k]])
+            place(k + 1, [*rooms, capacity - sizes[k]])
+
+        place(0, [])
+        return best[0]
+
+    rnd, met = random.Random(2), 0
+    for _ in range(150):
+        capacity = rnd.choice([7, 10, 12])
+        sizes = sorted((rnd.randint(1, capacity) for _ in range(rnd.randint(1, 8))), reverse=True)
+        best, bound = least(sizes, capacity), packing.lower_bound(np.array(sizes), capacity)
+        assert bound <= best
+        met += bound == best
+    assert met > 120
+
+
 def test_decontamination(spark, docs, texts, empty, odd):
     items = [(0, " ".join(texts[8].split()[10:25])), (1, "w1 w2"), (2, None), (3, "!!"), (4, "W3"), (5, " ".join(texts[8].split()[:9]))]
     table = spark.createDataFrame(items, "item_id long, text string")
@@ -251,13 +294,56 @@ def test_token_files_broken_index(spark):
         shard = token_files.Shard(r.path)
         system, base = token_files.file_system(r.path)
         raw = bytearray(Path(f"{base}.index").read_bytes())
-        if len(shard.place):
-            raw[-16 * len(shard.place)] ^= 1  # the place of slot 0
+        if len(shard.number):
+            raw[-8 * len(shard.number)] ^= 1  # the fingerprint of slot 0
             Path(f"{base}.index").write_bytes(raw)
     with pytest.raises(Exception, match="in its place"):
         token_files.read_token_files(manifest).collect()
 
 
+@pytest.mark.parametrize("shard_bytes", [1 << 26, 40])
+def test_token_files_lookup(spark, shard_bytes):
+    """Rolled shards, hot and null keys, absent keys."""
+    from lodestar.llm.tokens import load
+
+    keys = [None, None, None, -(2**63), -7, *[4] * 9, *range(10, 40), 2**63 - 1]
+    df = spark.createDataFrame([(k, f"text number {i} " * (i % 5), None, None, None) for i, k in enumerate(keys)], SCHEMA)
+    manifest = token_files.write_token_files(df, shard_bytes=shard_bytes)
+    got = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(keys, key=lambda k: (k is not None, k))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    tok = load(packing.tokenizer_file("byte_bpe_50k.json"))
+    texts = {k: {tuple(tok.encode(t or "", add_special_tokens=False).ids + [2]) for j, t in df.select("doc_id", "text").collect() if j == k} for k in set(keys)}
+    asked = [-(2**63), -7, 4, 5, 10, 39, 40, 2**63 - 1, None, 11]
+    found = {r.key: r for r in token_files.lookup(manifest, spark.createDataFrame([(k,) for k in asked], "key long")).collect()}
+    for k in asked:
+        assert found[k].found == (k is not None and k in texts)
+        if found[k].found:
+            assert tuple(found[k].ids) in texts[k]
+    assert token_files.lookup(token_files.write_token_files(df.limit(0)), spark.createDataFrame([(1,)], "key long")).first().found is False
+
+
+def test_units_against_the_plain_tokenizer():
+    """Both encoders on random strings of marks, odd white space, combining and special forms; strings of special tokens are ordinary text."""
+    import pyarrow as pa
+
+    from lodestar.llm.tokens import ByteEncoder, WordEncoder, load
+
+    rnd = random.Random(5)
+    bits = ["a", "B", "word", "it's", "'t", " ", "  ", "\n", "\n\n", "\t", "\u2002", "\u3000", "\x1c", "\x01", ".", "...", "&&&", "e\u0301", "é", "İ", "Σ", "ΑΣ", "漢字", "😀", "1", "23", "<|endoftext|>", "<|startoftext|>", "\u200b", "-", "_", "ß", "ǅ", "ﬁ", "\x85", "\r\n", ",", "don't", "x", "²", "½", "ª", "Ⅷ", "٣"]
+    texts = [None, "", " ", "word " * 200_000, "z" * 300_000] + ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 14))) for _ in range(6000)]
+    for kind, name in ((ByteEncoder, "byte_bpe_50k.json"), (WordEncoder, "word_bpe_49k.json")):
+        enc, tok = kind(packing.tokenizer_file(name)), load(packing.tokenizer_file(name))
+        for at in range(0, len(texts), 700):
+            part = texts[at : at + 700]
+            for ids, text in zip(enc.encode_all(pa.array(part, pa.string())), part, strict=True):
+                want = tok.encode(text or "", add_special_tokens=False).ids
+                assert ids == struct.pack(f"<{len(want)}I", *want), text[:80]
+
+
 def test_perfect_hash():
     import numpy as np
 
