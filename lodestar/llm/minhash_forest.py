@@ -1,24 +1,25 @@
 """Operator 8: near-duplicates by an LSH forest over MinHash signatures.
 
-A signature of N_TREES * DEPTH minima is read in N_TREES orders, each starting
-at another place. In an order, texts whose first DEPTH values agree form a
-region; these are the sorted order's neighbours whose longest common prefix
-has at least that depth. Every text is first compared with its regions' smallest
-id (one candidate per text and order, however large the region). The links
-that hold on the full shingle sets give components. Regions in which two or
-more components remain are then searched wholly across components, on
-signatures; one over REGION_LIMIT in blocks, in which the members outside its
-largest component meet all its members, a block with a block in a task.
-Candidates whose signatures agree well enough are confirmed on full sets. Two
-texts often share several regions; only the first REPEATS of these emit the pair.
+A signature of N_TREES * DEPTH minima is read in several orders, each starting
+at another place. In each of N_ORDERS orders all texts are sorted by what they
+read, in ranges, and a text is compared with its neighbour: the one with which
+it shares the longest prefix. How deep that is follows from how dense the order
+is there. Neighbours whose signatures agree well enough are confirmed on full
+shingle sets, in two steps: those of the first two orders, and then those of
+the others between which no chain of links runs yet. The links give components.
+
+For whole results, texts that share at least DEPTH values in one of N_TREES
+orders form a region. Regions in which two or more components remain are
+searched across components, with the texts at hand: pairs whose signatures
+agree well enough are confirmed on full sets there and then, so only links
+leave the task. A region over REGION_LIMIT members or REGION_SHINGLES shingles
+is dealt to cells of two blocks, in which the members outside its largest
+component meet all its members.
 
 Two texts with a similarity of 0.8 miss each other in all 32 orders at depth 4
 with probability 0.59 ** 32 < 1e-7, whatever the sizes of their regions. The
-signature filter, four standard deviations below, drops them with
-probability 9e-5.
-Signatures here are bytes, so that two texts can seem to share a region that
-they do not (0.13 % an order at 0.8); for three such regions to hide a pair has
-a probability below 1e-5.
+signature filter, four standard deviations below, drops them with probability
+of about 5e-5.
 """
 
 from __future__ import annotations
@@ -31,31 +32,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_caches, materialize, row_struct, table
+from .common import free_caches, freed, materialize, row_struct, table, unpack, utf8
 from .components import components
 from .shingles import MinHash, mix, set_digest, shingles_of
 
 N_TREES, DEPTH = 32, 4
+WIDTH = N_TREES * DEPTH
+N_ORDERS, FIRST_ORDERS = 8, 2
+LEAST_PREFIX = 2
 REGION_LIMIT = 4096
+REGION_SHINGLES = 1_000_000
 PERCENT = 80
-REPEATS = 3
-#: Least share of equal signature bytes for a candidate, four standard deviations below 0.8.
-LEAST_AGREEMENT = 0.66
+#: Most bits in which the signature bytes of a candidate differ: equal minima differ in none, others in 4 of 8 on average,
+#: so at 0.8 they are 102 with a standard deviation of 20.
+MOST_BITS = 182
+#: Partners of one text from which on a region's postings give all its intersections at once.
+MANY = 24
 
-_minhash = MinHash(N_TREES * DEPTH)
+_minhash = MinHash(WIDTH)
 _TREE = mix(np.arange(1, N_TREES + 1, dtype=np.uint64))
+_SIGNED = "id long, text_key binary, n_shingles long, digest binary, keys array<long>, sig binary, packed binary"
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
     free_caches()
+    z = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        counts, digests, keys, small = [], [], [], []
-        for s in shingles_of(b.column("text").to_pylist(), k):
+        counts, digests, keys, small, frames = [], [], [], [], []
+        texts = b.column("text").to_pylist()
+        for text, s in zip(texts, shingles_of(texts, k), strict=True):
             counts.append(len(s))
             if not len(s):
-                digests.append(None)
-                keys.append(None)
-                small.append(None)
+                for column in (digests, keys, small, frames):
+                    column.append(None)
                 continue
             sig = _minhash(s)
             acc = _TREE.copy()
@@ -65,65 +76,129 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             digests.append(set_digest(s))
             keys.append(acc.view(np.int64))
             small.append((sig & np.uint32(255)).astype(np.uint8).tobytes())
-        cols = [b.column("id"), b.column("text_key"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["id", "text_key", "n_shingles", "digest", "keys", "sig"])
+            frames.append(z.compress(utf8(text)))
+        cols = [b.column("id"), b.column("text_key"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary()), pa.array(frames, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, [c.split(" ")[0] for c in _SIGNED.split(", ")])
+
+
+def _similar_sizes(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+
 
+def _bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of signatures, (16, n) words each."""
+    return np.bitwise_count(x ^ y).sum(axis=0, dtype=np.uint16)
 
-def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _words(sigs: list[bytes]) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b"".join(sigs), np.uint64).reshape(len(sigs), WIDTH // 8).T)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Adjacent rows of each order with a common prefix of LEAST_PREFIX values or more that may be links."""
+    held = None
     for b in batches:
-        if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sig_a", "sig_b"))
-            keep = pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+        if not b.num_rows:
+            continue
+        own = (b.column("tree").to_numpy(), np.frombuffer(b"".join(b.column("key").to_pylist()), np.uint8).reshape(b.num_rows, WIDTH), b.column("id").to_numpy(), b.column("size").to_numpy())
+        tree, key, ids, size = own if held is None else (np.concatenate(x) for x in zip(held, own, strict=True))
+        held = tuple(x[-1:] for x in own)
+        words = np.ascontiguousarray(np.ascontiguousarray(key).view(np.uint64).T)
+        near = (tree[1:] == tree[:-1]) & (key[1:, :LEAST_PREFIX] == key[:-1, :LEAST_PREFIX]).all(axis=1)
+        near &= (_bits(words[:, 1:], words[:, :-1]) <= MOST_BITS) & _similar_sizes(size[1:], size[:-1], percent) & (ids[1:] != ids[:-1])
+        at = np.flatnonzero(near)
+        x, y = ids[at], ids[at + 1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(tree[at])], ["a", "b", "tree"])
+
 
+def _are_similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
 
-def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+
+def _sets(frames: list[bytes], k: int) -> list[np.ndarray]:
+    """The shingle sets of packed texts."""
+    return list(shingles_of([raw.decode("utf-8", "surrogatepass") for raw in unpack(pa.array(frames, pa.binary()))], k))
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keep = []
-        for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-            p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * both >= percent * (len(p) + len(q) - both))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
-
-
-def _columns(group: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    group = group.drop_duplicates("id").sort_values("id")
-    sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), N_TREES * DEPTH)
-    return sig, *(group[c].to_numpy() for c in ("id", "component", "size", "ready"))
-
-
-def _across(left: pd.DataFrame, right: pd.DataFrame, main: int, percent: int) -> pd.DataFrame:
-    """Candidate pairs of one region between different components, `left` without its component `main`; similar sets have similar sizes."""
-    sig, ids, part, size, ready = _columns(right)
-    earlier = np.arange(int(right["tree"].iloc[0])) if len(right) else np.zeros(0, np.int64)
-    a, b = [], []
-    for sig_i, id_i, part_i, size_i, ready_i in zip(*_columns(left), strict=True):
-        able = (part != part_i) & ((part == main) | (ids > id_i)) & (100 * np.minimum(size, size_i) >= percent * np.maximum(size, size_i))
-        able = np.flatnonzero(able)
-        near = able[(sig[able] == sig_i).mean(axis=1) >= LEAST_AGREEMENT]
-        shared = (sig[near] == sig_i).reshape(len(near), N_TREES, DEPTH).all(axis=2)[:, earlier]
-        shared &= ((ready[near] & ready_i)[:, None] >> earlier & 1).astype(bool)
-        near = near[shared.sum(axis=1) < REPEATS]
-        a.append(np.minimum(ids[near], id_i))
-        b.append(np.maximum(ids[near], id_i))
-    none = np.zeros(0, np.int64)
-    return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-
-
-def _whole(percent: int):
+        frames = list(dict.fromkeys([*b.column("packed_a").to_pylist(), *b.column("packed_b").to_pylist()]))
+        sets = dict(zip(frames, _sets(frames, k), strict=True))
+        keep = pa.array([_are_similar(sets[x], sets[y], percent) for x, y in zip(b.column("packed_a").to_pylist(), b.column("packed_b").to_pylist(), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+
+
+class _Region:
+    """The members of a region or of a cell: signatures, sets, and components as far as they are known here."""
+
+    def __init__(self, group: pd.DataFrame, k: int, percent: int):
+        group = group.drop_duplicates("id").sort_values("id")
+        self.k, self.percent = k, percent
+        self.ids, self.size = group["id"].to_numpy(), group["size"].to_numpy()
+        self.label = group["component"].to_numpy().copy()
+        self.words = _words(list(group["sig"]))
+        self.frames = list(group["packed"])
+        self.sets: dict[int, np.ndarray] = {}
+        self.postings: tuple[np.ndarray, ...] | None = None
+
+    def _set(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            self.sets[i] = _sets([self.frames[i]], self.k)[0]
+        return self.sets[i]
+
+    def _shared(self, i: int) -> np.ndarray:
+        """The sizes of the intersections of the set of i with all sets."""
+        n = len(self.ids)
+        if self.postings is None:
+            missing = [j for j in range(n) if j not in self.sets]
+            self.sets |= dict(zip(missing, _sets([self.frames[j] for j in missing], self.k), strict=True))
+            every = np.concatenate([self.sets[j] for j in range(n)])
+            order = np.argsort(every, kind="stable")
+            owner = np.repeat(np.arange(n), [len(self.sets[j]) for j in range(n)])[order]
+            self.postings = every[order], owner
+        values, owner = self.postings
+        lo, hi = np.searchsorted(values, self.sets[i], "left"), np.searchsorted(values, self.sets[i], "right")
+        counts = hi - lo
+        places = np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        return np.bincount(owner[places], minlength=n)
+
+    def links(self, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        """Links between members of `left` and of `right` (masks), as many as their components need to be joined."""
+        out, right = [], right.copy()
+        for i in np.flatnonzero(left).tolist():
+            right[i] = False  # each pair once
+            able = np.flatnonzero(right & (self.label != self.label[i]) & _similar_sizes(self.size, self.size[i], self.percent))
+            if not len(able):
+                continue
+            bits = _bits(self.words[:, able], self.words[:, i : i + 1])
+            near = able[bits <= MOST_BITS]
+            if len(near) > MANY:
+                both = self._shared(i)[near]
+                near = near[100 * both >= self.percent * (self.size[near] + self.size[i] - both)]
+            for j in near.tolist():
+                if self.label[i] != self.label[j] and (len(near) > MANY or _are_similar(self._set(i), self._set(j), self.percent)):
+                    out.append((min(self.ids[i], self.ids[j]), max(self.ids[i], self.ids[j])))
+                    self.label[self.label == self.label[j]] = self.label[i]
+        return out
+
+
+def _whole(k: int, percent: int):
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        names, sizes = np.unique(group["component"], return_counts=True)
-        main = names[sizes.argmax()]
-        return _across(group[group["component"] != main], group, main, percent)
+        region = _Region(group, k, percent)
+        names, sizes = np.unique(region.label, return_counts=True)
+        every = np.ones(len(region.ids), bool)
+        return pd.DataFrame(region.links(region.label != names[sizes.argmax()], every), columns=["a", "b"])
 
     return search
 
 
-def _cell(percent: int):
+def _cell(k: int, percent: int):
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        return _across(group[group["left"]], group[group["right"]], group["main"].iloc[0], percent)
+        sides = group.groupby("id")[["left", "right"]].any()
+        region = _Region(group, k, percent)
+        return pd.DataFrame(region.links(sides["left"].to_numpy(), sides["right"].to_numpy()), columns=["a", "b"])
 
     return search
 
@@ -136,73 +211,73 @@ class Forest:
     """The steps over one table of (id, text)."""
 
     def __init__(self, rows: DataFrame, k: int, percent: int):
-        self.rows, self.k, self.percent = rows, k, percent
+        self.k, self.percent = k, percent
         keyed = rows.withColumn("text_key", _text_key("text"))
-        signed = keyed.mapInArrow(lambda bs: _signed(bs, k), "id long, text_key binary, n_shingles long, digest binary, keys array<long>, sig binary")
-        self.signed = materialize(signed, "signatures")
-        classes = self.signed.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")).filter("rep is not null")
+        self.signed = materialize(keyed.mapInArrow(freed(lambda bs: _signed(bs, k)), _SIGNED), "signatures")
+        found = self.signed.filter("digest is not null")
+        classes = found.groupBy("digest").agg(F.min("id").alias("rep")).filter("rep is not null")
         self.classes = materialize(classes, "classes")
-        own = self.signed.filter("digest is not null").join(self.classes, "digest").filter("id = rep")
-        self.nodes = materialize(own.select("id", "keys", "sig", F.col("n_shingles").alias("size")).dropDuplicates(["id", "sig"]), "nodes")
-
-    def links(self, candidates: DataFrame) -> DataFrame:
-        """The candidate pairs (a, b) that hold on the full sets."""
-        candidates = materialize(candidates, "candidates")
-        involved = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
-        texts = self.rows.join(involved, "id", "left_semi")
+        # copies of a text are one node; its text is fetched when it is needed
+        own = found.select("id", "digest", "keys", "sig", F.col("n_shingles").alias("size")).join(self.classes, "digest").filter("id = rep")
+        self.nodes = materialize(own.select("id", "keys", "sig", "size").dropDuplicates(["id", "sig"]), "nodes")
+
+    def _texts(self, ids: DataFrame) -> DataFrame:
+        """(id, packed) of the given ids."""
+        return self.signed.filter("packed is not null").select("id", "packed").join(ids, "id", "left_semi").distinct()
+
+    def neighbours(self) -> DataFrame:
+        """(a, b, tree): neighbours in the sorted orders that may be links."""
+        starts = [o * (WIDTH // N_ORDERS) for o in range(N_ORDERS)]
+        read = F.array(*[F.concat(F.substring("sig", o + 1, WIDTH - o), F.substring("sig", 1, o)) if o else F.col("sig") for o in starts])
+        orders = self.nodes.select("id", "size", F.posexplode(read).alias("tree", "key"))
+        orders = orders.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key", "id")
+        percent = self.percent
+        return orders.mapInArrow(freed(lambda bs: _neighbours(bs, percent)), "a long, b long, tree int")
+
+    def confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The pairs (a, b) that hold on the full sets."""
         k, percent = self.k, self.percent
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = [s.tobytes() for s in shingles_of(b.column("text").to_pylist(), k)]
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.binary())], ["id", "set"])
-
-        full = materialize(texts.mapInArrow(sets, "id long, set binary"), "shingle-sets")
-        pairs = candidates.join(full.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        pairs = pairs.join(full.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-        return materialize(pairs.mapInArrow(lambda bs: _confirmed(bs, percent), "a long, b long").distinct(), "links")
+        both = pairs.select("a", "b").distinct().join(texts.select(F.col("id").alias("a"), F.col("packed").alias("packed_a")), "a")
+        both = both.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("packed_b")), "b")
+        return materialize(both.mapInArrow(freed(lambda bs: _confirmed(bs, k, percent)), "a long, b long").distinct(), "links")
 
     def run(self) -> DataFrame:
         """(node, component) of all linked classes."""
-        spread = self.nodes.select("id", F.posexplode("keys").alias("tree", "key"))
-        regions = spread.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        members = materialize(spread.join(regions, "key").select("key", "tree", "id", "first", "n"), "regions")
-        stars = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-        sig = self.nodes.select("id", "sig", "size")
-        near = stars.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("size").alias("size_a")), "a")
-        near = near.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("size").alias("size_b")), "b")
-        # similar sets have similar sizes
-        near = near.filter(100 * F.least("size_a", "size_b") >= self.percent * F.greatest("size_a", "size_b")).select("a", "b", "sig_a", "sig_b")
-        first = self.links(near.mapInArrow(_agreement, "a long, b long").distinct())
-        found = components(first)
-        # regions that still hold two components or more
-        named = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_regions = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        rest = materialize(named.join(open_regions, "key").select("key", "tree", "id", "component", "n"), "open-members")
-        # bit t: the node's region of order t is searched; 0 for ids that repeat
-        bits = F.bit_or(F.expr("shiftleft(1L, tree)"))
-        ready = rest.groupBy("id").agg(F.when(F.count(F.lit(1)) == F.bit_count(bits), bits).alias("ready"))
-        more = self._searched(rest.join(sig.join(ready, "id", "left").withColumn("ready", F.coalesce("ready", F.lit(0).cast("long"))), "id"))
-        done = first.select("a", "b")
-        second = self.links(more.distinct().join(done, ["a", "b"], "left_anti"))
-        return components(first.union(second))
-
-    def _searched(self, rest: DataFrame) -> DataFrame:
-        """Candidates across components from all regions; those over REGION_LIMIT are dealt to cells of two blocks."""
-        rest = materialize(rest, "open-regions")
-        pairs = rest.filter(F.col("n") <= REGION_LIMIT).groupBy("key").applyInPandas(_whole(self.percent), "a long, b long")
-        big = rest.filter(F.col("n") > REGION_LIMIT)
+        near = materialize(self.neighbours(), "neighbours")
+        texts = materialize(self._texts(near.select(F.col("a").alias("id")).union(near.select("b")).distinct()), "neighbour-texts")
+        links = self.confirmed(near.filter(F.col("tree") < FIRST_ORDERS), texts)
+        found = components(links)
+        more = near.filter(F.col("tree") >= FIRST_ORDERS)
+        for end in ("a", "b"):
+            more = more.join(found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+        apart = more.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+        links = links.union(self.confirmed(apart, texts))
+        return components(links.union(self.across(components(links))))
+
+    def across(self, found: DataFrame) -> DataFrame:
+        """Links between the components `found`, from all regions that hold two or more of them."""
+        named = self.nodes.select("id", "size", "keys").join(found.withColumnRenamed("node", "id"), "id", "left")
+        spread = named.select("id", "size", F.coalesce("component", "id").alias("component"), F.explode("keys").alias("key"))
+        regions = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+        regions = materialize(regions.filter("lo <> hi").select("key", "n", "shingles"), "open-regions")
+        rest = materialize(spread.select("key", "id", "component").join(regions, "key"), "open-members")
+        ids = rest.select("id").distinct()
+        full = self.nodes.select("id", "sig", "size").join(self._texts(ids), "id")
+        blocks = F.ceil(F.greatest(F.col("n") / REGION_LIMIT, F.col("shingles") / REGION_SHINGLES))
+        rest = materialize(rest.withColumn("blocks", blocks).drop("n", "shingles").join(full, "id"), "open-texts")
+        k, percent = self.k, self.percent
+        links = rest.filter("blocks = 1").groupBy("key").applyInPandas(_whole(k, percent), "a long, b long")
+        big = rest.filter("blocks > 1")
         if not big.limit(1).count():
-            return pairs
-        main = big.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "component")).alias("m"))
-        big = big.join(main.select("key", F.col("m.component").alias("main")), "key")
-        big = big.withColumn("blocks", F.ceil(F.col("n") / REGION_LIMIT)).withColumn("at", F.pmod(F.xxhash64("id"), "blocks"))
+            return materialize(links, "links")
+        main = big.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "component")).alias("m"))
+        big = big.join(main.select("key", F.col("m.component").alias("main")), "key").withColumn("at", F.pmod(F.xxhash64("id"), "blocks"))
         outside, every = F.col("component") != F.col("main"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
         # a member is on the right of the cells (i, at), and outside the main component on the left of the cells (at, j)
         right = big.withColumns({"j": F.col("at"), "i": F.explode(every), "right": F.lit(True)}).withColumn("left", outside & (F.col("i") == F.col("at")))
         left = big.filter(outside).withColumns({"i": F.col("at"), "j": F.explode(every), "right": F.lit(False), "left": F.lit(True)}).filter("i <> j")
-        cells = right.unionByName(left).drop("blocks", "at", "n")
-        return pairs.union(cells.groupBy("key", "i", "j").applyInPandas(_cell(self.percent), "a long, b long"))
+        cells = right.unionByName(left).drop("blocks", "at", "main")
+        return materialize(links.union(cells.groupBy("key", "i", "j").applyInPandas(_cell(k, percent), "a long, b long")), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

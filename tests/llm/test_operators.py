@@ -390,12 +390,24 @@ def test_near_duplicates_large_region(monkeypatch, spark, limit):
     monkeypatch.setattr(minhash_forest, "REGION_LIMIT", limit)
     n = minhash_forest.N_TREES * minhash_forest.DEPTH
     sigs = {i: bytes([7] * 4 + [10 * i] * 4 + [9] * (n - 8)) for i in range(3)}
-    rows = [(i, [5] + [100 * i + t for t in range(1, minhash_forest.N_TREES)], bytearray(s), 100) for i, s in sigs.items()]
-    forest = minhash_forest.Forest.__new__(minhash_forest.Forest)
-    forest.percent = 80
-    forest.nodes = spark.createDataFrame(rows, "id long, keys array<long>, sig binary, size long")
-    forest.links = lambda candidates: candidates.filter("a = 1 and b = 2").select("a", "b")
-    assert {(r.node, r.component) for r in forest.run().collect()} == {(1, 1), (2, 1)}
+    texts = {0: " ".join(f"x{i}" for i in range(100)), 1: " ".join(f"y{i}" for i in range(100)), 2: " ".join(f"y{i}" for i in range(95))}
+    rows = spark.createDataFrame([(i, t) for i, t in texts.items()], "id long, text string")
+    forest = minhash_forest.Forest(rows, 2, 80)
+    fake = [(i, [5] + [100 * i + t for t in range(1, minhash_forest.N_TREES)], bytearray(s), len(texts[i].split()) - 1) for i, s in sigs.items()]
+    forest.nodes = spark.createDataFrame(fake, "id long, keys array<long>, sig binary, size long")
+    none = spark.createDataFrame([], "node long, component long")
+    assert {(r.a, r.b) for r in forest.across(none).collect()} == {(1, 2)}
+
+
+@pytest.mark.parametrize(("limit", "many"), [(4096, 24), (4096, 1), (5, 24), (5, 1)])
+def test_near_duplicates_without_neighbours(monkeypatch, docs, texts, limit, many):
+    """The regions alone find every component, by single intersections and by postings, whole and in cells."""
+    monkeypatch.setattr(minhash_forest, "REGION_LIMIT", limit)
+    monkeypatch.setattr(minhash_forest, "MANY", many)
+    monkeypatch.setattr(minhash_forest.Forest, "neighbours", lambda self: self.nodes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).alias("tree")).limit(0))
+    sets, root = brute_near(texts, 2)
+    for r in minhash_forest.near_duplicates(docs, 2).collect():
+        assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root[r.doc_id])
 
 
 def test_line_dedup(docs, texts, empty, odd):
