@@ -9,19 +9,21 @@ or documents over a coverage limit dropped.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_struct, table, utf8
+from .common import discard, freed, materialize, row_struct, table, utf8
 
 WINDOW = 10
-#: Words of items that one automaton, and so one broadcast, may hold; larger item tables take several passes.
-BLOCK_WORDS = 2_000_000
+#: Words of items that one automaton, and so one broadcast, holds, about (some 80 MB); larger item tables take several passes.
+BLOCK_WORDS = 200_000
 MAX_COVERAGE = 0.5
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -64,10 +66,7 @@ class Automaton:
             if up > 0 and self.length[up] >= window:
                 held[up] |= held[s]
         # the state whose strings contain the one of `window` words, and its items
-        self.of_window: dict[int, frozenset[int]] = {s: frozenset(held[s]) for s in by_length if self.length[s] >= window}
-        for s in by_length:
-            if self.length[s] >= window > self.length[self.link[s]] and not self.of_window[s]:
-                self.of_window[s] = frozenset(held[s])
+        self.of_window: dict[int, tuple[int, ...]] = {s: tuple(sorted(held[s])) for s in by_length if self.length[s] >= window > self.length[self.link[s]]}
         for k, codes in short:
             s = 0
             for c in codes:
@@ -139,7 +138,7 @@ class Automaton:
                 while length[link[s]] >= window:
                     s = link[s]
                 reach = window
-                items |= self.of_window[s]
+                items.update(self.of_window[s])
             if shorts and state in shorts:
                 for n, k in shorts[state]:
                     if n <= size:
@@ -154,17 +153,19 @@ class Automaton:
 
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of at most `block_words` words (an item over that is a block); streamed, never held at once."""
-    block, n = [], 0
-    for row in items.select(F.col(id_col).cast("string"), text_col).toLocalIterator():
-        words = words_of(row[1])
-        if block and n + len(words) > block_words:
-            yield block
-            block, n = [], 0
-        block.append((row[0] if row[0] is not None else "", words))
-        n += len(words)
-    if block:
-        yield block
+    """The items in blocks of about `block_words` words, by a hash of the id and text; the driver holds one block at a time."""
+    # a word that ends before an ASCII character which belongs to none; the blank ends a last one
+    ends = F.regexp_count(F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit(" ")), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}][\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
+    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.col(text_col).alias("text"), ends.alias("n")).filter("n > 0")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    n_blocks = -(-total // block_words)
+    for k in range(n_blocks):
+        block = rows.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks)) == k).select("name", "text").collect()
+        if block:
+            yield [(r["name"], words_of(r["text"])) for r in block]
+
+
+_SPAN_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, carry: list[str] | None = None) -> DataFrame:
@@ -172,34 +173,41 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
     A null or empty text has no words and no hits. Items without words match
     nothing; items that repeat each count by their id. Without items nothing
-    is hit. Each block of items is one broadcast automaton of bounded size;
-    blocks after the first add to the spans and items that are already found.
+    is hit. Each block of items is one broadcast automaton of bounded size and
+    one pass over the documents; passes after the first add to the spans and
+    items that are already found, and each but the last is written.
     """
+    spark = docs.sparkSession
     src = docs.select(row_struct(docs.select(carry) if carry else docs), F.col(text_col).alias("text"))
-    sc = docs.sparkSession.sparkContext
-    automata = [sc.broadcast(Automaton(b, window)) for b in item_blocks(items, text_col="text", block_words=block_words)]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts, spans, names = [], [], []
-            for t in b.column("text"):
-                words = words_of(t.as_py())
-                found, held = [], set()
-                for a in automata:
-                    hits, ks = a.value.scan(words)
-                    found += hits
-                    held |= {a.value.names[k] for k in ks}
-                counts.append(len(words))
-                spans.append([{"start": s, "end": e} for s, e in _merged(found)])
-                names.append(sorted(held))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row"), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(names, pa.list_(pa.string()))],
-                ["row", "n_words", "spans", "items"],
-            )
-
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([src.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))])
-    return src.mapInArrow(scan, schema)
+    found = [T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))]
+    schema = T.StructType([src.schema["row"], T.StructField("text", T.StringType()), *found])
+
+    def scan(automaton: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                counts, spans, names = [], [], []
+                before = zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True) if "spans" in b.schema.names else itertools.repeat(([], []))
+                for t, (old_spans, old_names) in zip(b.column("text"), before):
+                    words = words_of(t.as_py())
+                    hits, ks = automaton.value.scan(words) if automaton else ([], set())
+                    counts.append(len(words))
+                    hits = _merged([*((s["start"], s["end"]) for s in old_spans), *hits]) if hits else [(s["start"], s["end"]) for s in old_spans]
+                    spans.append([{"start": s, "end": e} for s, e in hits])
+                    names.append(sorted({*old_names, *(automaton.value.names[k] for k in ks)}) if ks else old_names)
+                cols = [b.column("row"), b.column("text"), pa.array(counts, pa.int64()), pa.array(spans, _SPAN_ARROW), pa.array(names, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(cols, schema.names)
+
+        return freed(run)
+
+    held = None
+    for block in item_blocks(items, text_col="text", block_words=block_words):
+        if held is not None:
+            src, last = materialize(src.mapInArrow(scan(held), schema), "contamination-pass"), src
+            held.destroy()
+            discard(spark, last)
+        held = spark.sparkContext.broadcast(Automaton(block, window))
+    return src.mapInArrow(scan(held), schema).drop("text")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -2,8 +2,8 @@
 
 Each whole text is measured in one pass. Rule failures are then aggregated by
 host (the `source` of a document); host failure rates are shrunk towards an
-empirical beta prior whose two parameters come from the mean and variance of
-all host rates, and the verdict on each host is joined back to its documents.
+empirical beta prior, fitted to all hosts' counts with binomial noise taken
+out, and the verdict on each host is joined back to its documents.
 A document that fails a softer rule is judged by the odds that it is bad: those
 of its host's rate times the weight of each softer rule it fails. So a rule of
 much weight rejects in nearly every host, one of little weight in bad hosts.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_caches, materialize, row_struct, table
+from .common import free_caches, freed, materialize, row_struct, table
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -97,7 +97,7 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", bad
     """
     src = docs.select(row_struct(docs.select(carry) if carry else docs), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
     schema = T.StructType([src.schema["row"], T.StructField("host", T.StringType()), *[T.StructField(m, T.LongType()) for m in METRICS]])
-    rows = materialize(src.mapInArrow(_measured, schema), "host-measured")
+    rows = materialize(src.mapInArrow(freed(_measured), schema), "host-measured")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     soft = [
         (100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("n_words"), SYMBOL_WEIGHT),
@@ -117,14 +117,20 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", bad
 def host_rates(hosts: DataFrame) -> DataFrame:
     """Adds host_rate, the posterior mean of each host's failure rate, to (host, n, failed).
 
-    The prior Beta(a, b) has the mean m and variance v of the raw host rates:
-    a + b = m(1 - m)/v - 1, held between 1 and 10,000; one host alone, or
-    hosts without spread, get the strongest prior.
+    Failures are beta-binomial. The prior's mean m is the rate over all
+    documents; its strength a + b = (1 - r) / r comes from the correlation r of
+    failures within a host: the spread of the host rates, weighted by their
+    documents, beyond what binomial noise alone gives, over the most that it
+    could be. The strength is held between 1 and 10,000; one host alone, or
+    hosts without spread beyond noise, get the strongest prior.
     """
-    rate = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    weight = F.when(F.col("v") > 0, F.col("m") * (1 - F.col("m")) / F.col("v") - 1).otherwise(F.lit(1e4))
-    prior = prior.select("m", F.greatest(F.lit(1.0), F.least(F.lit(1e4), weight)).alias("w"))
+    n, x = F.col("n").cast("double"), F.col("failed").cast("double")
+    sums = hosts.agg(F.sum(n).alias("n"), F.sum(x).alias("x"), F.sum(n * n).alias("nn"), F.sum(x * x / n).alias("xx"), F.count(F.lit(1)).alias("k"))
+    sums = sums.withColumn("m", F.coalesce(F.try_divide("x", "n"), F.lit(0.0))).withColumn("noise", F.col("m") * (1 - F.col("m")))
+    spread = F.col("xx") - F.col("n") * F.col("m") * F.col("m") - F.col("noise") * (F.col("k") - 1)
+    most = F.col("noise") * (F.col("n") - F.col("nn") / F.col("n") - (F.col("k") - 1))
+    r = F.when(most > 0, spread / most).otherwise(0.0)
+    prior = sums.select("m", F.when(r > 1e-4, F.greatest(F.lit(1.0), (1 - r) / r)).otherwise(1e4).alias("w"))
     return hosts.crossJoin(F.broadcast(prior)).select(  # one row
         "host", "n", "failed", ((F.col("failed") + F.col("m") * F.col("w")) / (F.col("n") + F.col("w"))).alias("host_rate")
     )

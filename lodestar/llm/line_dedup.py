@@ -7,8 +7,12 @@ smallest line hash (the last one, if equal) is selected as a fingerprint, so
 any two equal windows share one. Fingerprints that occur once are dropped by a
 count. The positions of the others are
 joined, and matches extended both ways over the windows around them: a window
-whose lines occurred in an earlier window, by id and place, is a later repeat.
-The union of these windows, the maximal later repeated runs, is deleted.
+whose lines occurred in an earlier window, by id and place, is a later repeat,
+unless it overlaps that first one. The union of the later windows, the maximal
+later repeated runs, is deleted; the first place of a window stays whole where
+a run repeats over itself, as equal lines do. Positions are joined by what
+their windows hold and each with the first alone, never in pairs, so a line that
+many documents hold costs a row for each of its positions.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_caches, materialize, row_struct, table, utf8
+from .common import free_caches, freed, materialize, row_struct, table, utf8
 
 RUN = 3
 #: Fewer lines than RUN are a run too if they hold more words than this.
@@ -74,14 +78,15 @@ def _row_id(id_col: str, text_col: str) -> F.Column:
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, run: int = RUN, over_words: int | None = None) -> DataFrame:
     """(rid, repeats): for each document with later repeats the first lines and sizes of its repeated windows."""
     src = docs.select(_row_id(id_col, text_col).alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = materialize(src.mapInArrow(lambda bs: _winnowed(bs, run, over_words), _WINDOWS), "line-fingerprints")
+    found = materialize(src.mapInArrow(freed(lambda bs: _winnowed(bs, run, over_words)), _WINDOWS), "line-fingerprints")
     # combined before the shuffle, so a line that a third of all documents hold is one row a task
     often = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")
     windows = found.join(often, "fp", "left_semi").select("rid", "id", F.explode("windows").alias("w")).select("rid", "id", "w.start", "w.size", "w.digest")
     windows = materialize(windows, "line-windows")
     place = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), "rid", "start")
     first = windows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    later = windows.join(first, "digest").filter(place != F.col("first"))
+    own = (F.col("rid") == F.col("first.rid")) & (F.col("start") < F.col("first.start") + F.col("size"))
+    later = windows.join(first, "digest").filter(~own)
     return later.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("repeats"))
 
 
@@ -124,7 +129,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column("row"), *cols], ["row", "kept_text", "n_lines", "n_removed", "n_runs"])
 
     schema = T.StructType([src.schema["row"], T.StructField("kept_text", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "n_runs")]])
-    return src.mapInArrow(cut, schema)
+    return src.mapInArrow(freed(cut), schema)
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, over_words: int | None = None) -> DataFrame:

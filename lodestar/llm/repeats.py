@@ -6,7 +6,7 @@ it that any such string can reach form a segment. Anchors are counted first:
 segments that occur twice or more, byte for byte, are repeated whole wherever
 they stand, and those whose anchor occurs once hold nothing repeated. The
 other segments, which share an anchor but differ, go to blocks by anchor, one
-copy of each. A block's text becomes a run-compressed Burrows-Wheeler transform
+copy of each; those of an anchor with very many are split by the bytes around it. A block's text becomes a run-compressed Burrows-Wheeler transform
 with the text places of both ends of every run and the match length across
 each run boundary. Streaming these samples in text order gives the matching
 statistics (the longest match elsewhere from each byte on), and where they
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_caches, materialize, packed, table, unpack, utf8
+from .common import free_caches, freed, materialize, packed, table, unpack, utf8
 from .shingles import mix
 
 LENGTH = 200
@@ -33,6 +33,8 @@ GRAM = 32
 STEP = 1 << 22
 PIECE_BYTES = 1 << 18
 BLOCK_BYTES = 2 << 20
+#: Anchors with more differing segments than this have them dealt to several blocks, by what stands around the anchor.
+HOT_KINDS, PARTS = 500, 4
 SEPARATOR = 0xFF  # never in UTF-8
 
 _RAND = np.random.RandomState(5).randint(0, 1 << 62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -188,13 +190,13 @@ def repeated_spans(segments: list[bytes], length: int = LENGTH) -> list[list[tup
     return out
 
 
-_KEYS = ["id", "th"]  # a document: its id (the least integer for null) and a hash of its text
+_KEYS = ["id", "th"]  # a document: its id (for null another hash of its text) and a hash of its text, 128 bits in all
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row's key is its id and a hash that tells rows with equal ids apart."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.hash(text).alias("th"), text.alias("text"))
+    """(id, th, null_id, text): a row's key is its id and a hash that tells rows with equal ids apart."""
+    text, own = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+    return docs.select(F.coalesce(own, F.xxhash64(F.lit("null"), text)).alias("id"), F.xxhash64(text).alias("th"), own.isNull().alias("null_id"), text.alias("text"))
 
 
 def _anchored(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -222,13 +224,33 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         )
 
 
-def _cut_segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _parts(raw: bytes, place: int, length: int, n_blocks: int, n_hot: int) -> Iterator[int]:
+    """The blocks of a segment with a hot anchor.
+
+    A string of `length` bytes reaches l bytes before the anchor and
+    length - GRAM - l after it. Its l lies in one of PARTS ranges; all strings
+    of a range share the anchor, the range's least l bytes before it and the
+    bytes after it that its largest l leaves. Equal strings thus have equal
+    keys for their range, and other segments go elsewhere.
+    """
+    around = length - GRAM
+    width = -(-(around + 1) // PARTS)
+    for part in range(PARTS):
+        before, after = part * width, max(0, around - (part + 1) * width + 1)
+        if before <= place and place + GRAM + after <= len(raw):
+            yield n_blocks + xxhash.xxh3_64_intdigest(raw[place - before : place + GRAM + after], part) % n_hot
+
+
+def _cut_segments(batches: Iterator[pa.RecordBatch], length: int, n_blocks: int, n_hot: int) -> Iterator[pa.RecordBatch]:
     """The wanted segments of each text by block, those that overlap in one piece, so that no byte is twice in a block."""
     for b in batches:
         rows = []
         for doc, th, raw, wanted in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), unpack(b.column("packed")), b.column("wanted").to_pylist(), strict=True):
             last: dict[int, list[int]] = {}
-            for block, place in sorted((w["block"], w["place"]) for w in wanted):
+            asked = set()
+            for w in wanted:
+                asked.update((block, w["place"]) for block in (_parts(raw, w["place"], length, n_blocks, n_hot) if w["hot"] else (w["block"],)))
+            for block, place in sorted(asked):
                 s, e = segment(len(raw), place, length)
                 if block in last and s <= last[block][1]:
                     last[block][1] = max(e, last[block][1])
@@ -238,7 +260,7 @@ def _cut_segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
                 last[block] = [s, e]
             rows += [(block, doc, th, s, raw[s:e]) for block, (s, e) in last.items()]
         cols = zip(*rows, strict=True) if rows else [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["block", "id", "th", "start", "bytes"])
 
 
@@ -253,7 +275,7 @@ def _indexed(length: int):
     return run
 
 
-def repeated_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES, hot_kinds: int = HOT_KINDS) -> DataFrame:
     """(id, th, marks): for each document with repeated strings the byte spans that they cover.
 
     Anchors are found twice rather than kept: the first time only to count
@@ -261,7 +283,7 @@ def repeated_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     keyed = _keyed(docs, id_col, text_col)
     long_ones = keyed.filter(F.octet_length("text") >= length)
-    found = long_ones.mapInArrow(lambda bs: _anchored(bs, length), "id long, th int, place int, anchor long, digest long")
+    found = long_ones.mapInArrow(freed(lambda bs: _anchored(bs, length)), "id long, th long, place int, anchor long, digest long")
     # combined before the shuffle: an anchor that a third of all documents hold is one row a task
     count = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
     often = materialize(count.filter("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
@@ -273,13 +295,15 @@ def repeated_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = members.filter("not mixed").unionByName(mixed.join(variants.filter("n > 1").select("anchor", "digest"), ["anchor", "digest"]))
     whole = twice.select("id", "th", F.greatest(F.lit(0), F.col("place") + GRAM - length).alias("lo"), (F.col("place") + length).alias("hi"))
     # segments that share an anchor and differ; where all kinds of an anchor occur twice, none is left to ask for
-    single = variants.groupBy("anchor").agg(F.min("n").alias("least")).filter("least = 1").select("anchor")
-    differ = variants.join(single, "anchor", "left_semi")
-    n_blocks = max(1, differ.count() * (2 * length) // block_bytes)
-    wanted = differ.select("rep.*", F.pmod(F.xxhash64("anchor"), F.lit(n_blocks)).alias("block"))
-    wanted = wanted.groupBy(_KEYS).agg(F.collect_list(F.struct("block", "place")).alias("wanted"))
-    segments = packed(long_ones).join(wanted, _KEYS).mapInArrow(lambda bs: _cut_segments(bs, length), "block long, id long, th int, start int, bytes binary")
-    partial = segments.dropDuplicates(["block", "id", "th", "start"]).groupBy("block").applyInPandas(_indexed(length), "id long, th int, lo int, hi int")
+    kinds = variants.groupBy("anchor").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("kinds")).filter("least = 1")
+    differ = variants.join(kinds.select("anchor", (F.col("kinds") > hot_kinds).alias("hot")), "anchor")
+    n_hot, n_all = differ.agg(F.count_if("hot"), F.count(F.lit(1))).first()
+    n_blocks = max(1, n_all * (2 * length) // block_bytes)
+    n_hot = max(1, n_hot * PARTS * (2 * length) // block_bytes)
+    wanted = differ.select("rep.*", "hot", F.pmod(F.xxhash64("anchor"), F.lit(n_blocks)).alias("block"))
+    wanted = wanted.groupBy(_KEYS).agg(F.collect_list(F.struct("block", "place", "hot")).alias("wanted"))
+    segments = packed(long_ones.select(*_KEYS, "text")).join(wanted, _KEYS).mapInArrow(freed(lambda bs: _cut_segments(bs, length, n_blocks, n_hot)), "block long, id long, th long, start int, bytes binary")
+    partial = segments.dropDuplicates(["block", "id", "th", "start"]).groupBy("block").applyInPandas(_indexed(length), "id long, th long, lo int, hi int")
     return whole.unionByName(partial).groupBy(_KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
 
 
@@ -301,7 +325,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others: both lose what they share. Texts shorter than `length` lose nothing.
     """
     marks = repeated_marks(docs, id_col, text_col, length)
-    rows = packed(_keyed(docs, id_col, text_col)).join(marks, _KEYS, "left").select("id", "packed", "marks")
+    rows = packed(_keyed(docs, id_col, text_col)).join(marks, _KEYS, "left").select(F.expr("if(null_id, null, id)").alias("id"), "packed", "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -316,8 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([b.column("id"), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    found = rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**63))))
+    return rows.mapInArrow(freed(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,8 @@ def train(samples: DataFrame) -> DataFrame:
     the array has (len(ALPHABET) + 1) ** 2 entries, whatever the sample.
     """
     c = len(ALPHABET) + 1
-    pairs = samples.select("random", F.explode(F.expr(f"transform(sequence(1, greatest(length(text) - 1, 1)), i -> locate(substring(text, i, 1), '{ALPHABET}') * {c} + locate(substring(text, i + 1, 1), '{ALPHABET}'))")).alias("pair"))
+    codes = samples.filter("length(text) > 1").select("random", F.expr(f"transform(split(text, ''), x -> locate(x, '{ALPHABET}'))").alias("q"))
+    pairs = codes.select("random", F.explode(F.expr(f"zip_with(slice(q, 1, size(q) - 1), slice(q, 2, size(q) - 1), (a, b) -> a * {c} + b)")).alias("pair"))
     every = samples.sparkSession.range(c * c).select(F.col("id").alias("pair"))
     counts = pairs.groupBy("pair").agg(F.count_if("random").alias("r"), F.count_if(~F.col("random")).alias("o"))
     full = every.join(F.broadcast(counts), "pair", "left").select("pair", F.floor(F.col("pair") / c).alias("a"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("o", F.lit(0)).alias("o"))
@@ -86,28 +87,38 @@ def train(samples: DataFrame) -> DataFrame:
 
 
 def log_ratio(text: str, llr: str = "llr") -> str:
-    """SQL for the mean log-likelihood ratio of a string's character transitions."""
+    """SQL for the mean log-likelihood ratio of a string's character transitions; the string is split once."""
     c = len(ALPHABET) + 1
-    pair = f"locate(substring({text}, i, 1), '{ALPHABET}') * {c} + locate(substring({text}, i + 1, 1), '{ALPHABET}')"
-    return f"aggregate(sequence(1, length({text}) - 1), 0D, (s, i) -> s + get({llr}, cast({pair} as int))) / (length({text}) - 1)"
+    codes = f"transform(split({text}, ''), x -> locate(x, '{ALPHABET}'))"
+    total = f"aggregate(zip_with(slice(q, 1, size(q) - 1), slice(q, 2, size(q) - 1), (a, b) -> a * {c} + b), 0D, (s, pair) -> s + get({llr}, pair))"
+    return f"transform(array({codes}), q -> {total} / (size(q) - 1))[0]"
+
+
+_SPAN = "array<struct<start:int,rank:int,kind:string,end:int,text:string>>"
+#: Matches that are put together at a time, so that a text of very many costs little more for each.
+CHUNK = 256
 
 
 def _spans(kind: str, rank: int, pattern: str, value: str | None = None) -> Column:
     """array<struct<start, rank, kind, end, text>> of all matches of `pattern` in `text`, in code points."""
     sql_pattern = "r'" + pattern.replace("'", "\\x27") + "'"
     group = f"regexp_extract_all(text, {sql_pattern}, 2)" if value else "cast(null as array<string>)"
+    long_enough = f"length(get(q.v, i - 1)) >= {MIN_ASSIGNED}" if value else "true"
+    one = f"""
+      (s, i) -> struct(
+        s.at + length(get(q.m, i - 1)) + length(get(q.p, i)) as at,
+        concat(s.xs, if({long_enough},
+          array(struct(s.at as start, {rank} as rank, '{kind}' as kind, s.at + length(get(q.m, i - 1)) as end, get(q.m, i - 1) as text)),
+          cast(array() as {_SPAN}))) as xs)"""
+    chunk = f"aggregate(sequence(c * {CHUNK} + 1, least(size(q.m), (c + 1) * {CHUNK})), struct(t.at as at, cast(array() as {_SPAN}) as xs), {one})"
     found = f"""
     aggregate(
-      sequence(1, size(m)),
-      struct(length(get(p, 0)) as at, cast(array() as array<struct<start:int,rank:int,kind:string,end:int,text:string>>) as xs),
-      (s, i) -> struct(
-        s.at + length(get(m, i - 1)) + length(get(p, i)) as at,
-        concat(s.xs, if({f"length(get(v, i - 1)) >= {MIN_ASSIGNED}" if value else "true"},
-          array(struct(s.at as start, {rank} as rank, '{kind}' as kind, s.at + length(get(m, i - 1)) as end, get(m, i - 1) as text)),
-          cast(array() as array<struct<start:int,rank:int,kind:string,end:int,text:string>>))) as xs),
-      s -> s.xs)"""
-    bound = f"transform(array(struct(regexp_extract_all(text, {sql_pattern}, 0) as m, split(text, {sql_pattern}, -1) as p, {group} as v)), q -> {found.replace('size(m)', 'size(q.m)').replace('get(m,', 'get(q.m,').replace('get(p,', 'get(q.p,').replace('get(v,', 'get(q.v,')})[0]"
-    return F.expr(f"if(text rlike {sql_pattern}, {bound}, cast(array() as array<struct<start:int,rank:int,kind:string,end:int,text:string>>))")
+      sequence(0, cast((size(q.m) - 1) div {CHUNK} as int)),
+      struct(length(get(q.p, 0)) as at, cast(array() as array<{_SPAN}>) as xss),
+      (t, c) -> transform(array({chunk}), r -> struct(r.at as at, concat(t.xss, array(r.xs)) as xss))[0],
+      t -> flatten(t.xss))"""
+    bound = f"transform(array(struct(regexp_extract_all(text, {sql_pattern}, 0) as m, split(text, {sql_pattern}, -1) as p, {group} as v)), q -> {found})[0]"
+    return F.expr(f"if(text rlike {sql_pattern}, {bound}, cast(array() as {_SPAN}))")
 
 
 def scan(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_llr: float = MIN_LLR) -> DataFrame:
