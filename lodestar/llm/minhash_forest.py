@@ -27,13 +27,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_caches, freed, materialize, row_struct, table, unpack, utf8
-from .components import components
+from .components import components, extended
 from .shingles import MinHash, mix, set_digest, shingles_of
 
 N_TREES, DEPTH = 32, 4
@@ -60,24 +59,23 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
     free_caches()
     z = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        counts, digests, keys, small, frames = [], [], [], [], []
+        counts, digests, signatures, frames = [], [], [], []
         texts = b.column("text").to_pylist()
         for text, s in zip(texts, shingles_of(texts, k), strict=True):
             counts.append(len(s))
-            if not len(s):
-                for column in (digests, keys, small, frames):
-                    column.append(None)
-                continue
-            sig = _minhash(s)
-            acc = _TREE.copy()
-            with np.errstate(over="ignore"):
-                for col in sig.reshape(N_TREES, DEPTH).T.astype(np.uint64):
-                    acc = mix(acc * np.uint64(5) + col)
-            digests.append(set_digest(s))
-            keys.append(acc.view(np.int64))
-            small.append((sig & np.uint32(255)).astype(np.uint8).tobytes())
-            frames.append(z.compress(utf8(text)))
-        cols = [b.column("id"), b.column("text_key"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(small, pa.binary()), pa.array(frames, pa.binary())]
+            digests.append(set_digest(s) if len(s) else None)
+            frames.append(z.compress(utf8(text)) if len(s) else None)
+            if len(s):
+                signatures.append(_minhash(s))
+        sig = np.array(signatures, np.uint32).reshape(len(signatures), N_TREES, DEPTH)
+        acc = np.broadcast_to(_TREE, sig.shape[:2])
+        with np.errstate(over="ignore"):
+            for d in range(DEPTH):
+                acc = mix(acc * np.uint64(5) + sig[:, :, d].astype(np.uint64))
+        keys, small = iter(acc.view(np.int64)), iter((sig & np.uint32(255)).astype(np.uint8).reshape(len(sig), WIDTH))
+        keys = pa.array([next(keys) if n else None for n in counts], pa.list_(pa.int64()))
+        small = pa.array([next(small).tobytes() if n else None for n in counts], pa.binary())
+        cols = [b.column("id"), b.column("text_key"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), keys, small, pa.array(frames, pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, [c.split(" ")[0] for c in _SIGNED.split(", ")])
 
 
@@ -130,77 +128,137 @@ def _confirmed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Itera
         yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
 
-class _Region:
-    """The members of a region or of a cell: signatures, sets, and components as far as they are known here."""
+class _Members:
+    """Rows of whole regions or cells, one group after another: signatures, shared regions, and sets as they are needed."""
 
-    def __init__(self, group: pd.DataFrame, k: int, percent: int):
-        group = group.drop_duplicates("id").sort_values("id")
+    def __init__(self, columns: dict[str, np.ndarray], k: int, percent: int):
         self.k, self.percent = k, percent
-        self.ids, self.size = group["id"].to_numpy(), group["size"].to_numpy()
-        self.label = group["component"].to_numpy().copy()
-        self.words = _words(list(group["sig"]))
-        self.frames = list(group["packed"])
-        self.sets: dict[int, np.ndarray] = {}
-        self.postings: tuple[np.ndarray, ...] | None = None
-
-    def _set(self, i: int) -> np.ndarray:
-        if i not in self.sets:
-            self.sets[i] = _sets([self.frames[i]], self.k)[0]
-        return self.sets[i]
-
-    def _shared(self, i: int) -> np.ndarray:
-        """The sizes of the intersections of the set of i with all sets."""
-        n = len(self.ids)
-        if self.postings is None:
-            missing = [j for j in range(n) if j not in self.sets]
-            self.sets |= dict(zip(missing, _sets([self.frames[j] for j in missing], self.k), strict=True))
-            every = np.concatenate([self.sets[j] for j in range(n)])
-            order = np.argsort(every, kind="stable")
-            owner = np.repeat(np.arange(n), [len(self.sets[j]) for j in range(n)])[order]
-            self.postings = every[order], owner
-        values, owner = self.postings
-        lo, hi = np.searchsorted(values, self.sets[i], "left"), np.searchsorted(values, self.sets[i], "right")
-        counts = hi - lo
-        places = np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        return np.bincount(owner[places], minlength=n)
-
-    def links(self, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-        """Links between members of `left` and of `right` (masks), as many as their components need to be joined."""
-        out, right = [], right.copy()
-        for i in np.flatnonzero(left).tolist():
+        self.ids, self.size, self.label, self.tree = (columns[c] for c in ("id", "size", "component", "tree"))
+        self.left, self.right = columns["left"], columns["right"]
+        self.words, self.keys, self.frames = np.ascontiguousarray(columns["sig"].T), columns["keys"], columns["packed"]
+        self.sets: dict[bytes, np.ndarray] = {}
+
+    def able(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs of rows may be links between components and meet here first: not in a region of an earlier tree."""
+        ok = (self.label[i] != self.label[j]) & (self.ids[i] != self.ids[j]) & _similar_sizes(self.size[i], self.size[j], self.percent)
+        at = np.flatnonzero(ok)
+        i, j = (np.broadcast_to(x, ok.shape)[at] for x in (i, j))
+        near = _bits(self.words[:, i], self.words[:, j]) <= MOST_BITS
+        at, i, j = at[near], i[near], j[near]
+        same = (self.keys[i] == self.keys[j]) & (self.keys[i] != NO_KEY)
+        first = np.where(same.any(axis=1), same.argmax(axis=1), N_TREES)
+        return at[first >= self.tree[i]]
+
+    def fetch(self, rows: np.ndarray) -> None:
+        missing = list({self.frames[r]: None for r in rows.tolist() if self.frames[r] not in self.sets})
+        self.sets |= dict(zip(missing, _sets(missing, self.k), strict=True))
+
+    def similar(self, i: int, j: int) -> bool:
+        return _are_similar(self.sets[self.frames[i]], self.sets[self.frames[j]], self.percent)
+
+    def small(self, starts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+        """Links of groups of `n` rows, all their pairs at once."""
+        x, y = np.triu_indices(n, 1)
+        i, j = (starts[:, None] + x).ravel(), (starts[:, None] + y).ravel()
+        meet = (self.left[i] & self.right[j]) | (self.left[j] & self.right[i])
+        i, j = i[meet], j[meet]
+        at = self.able(i, j)
+        i, j = i[at], j[at]
+        self.fetch(np.concatenate([i, j]))
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            if self.similar(a, b):
+                yield a, b
+
+    def large(self, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+        """Links of one group, as many as its components need to be joined."""
+        right, label = self.right[lo:hi].copy(), self.label
+        postings = None
+        for i in np.flatnonzero(self.left[lo:hi]).tolist():
             right[i] = False  # each pair once
-            able = np.flatnonzero(right & (self.label != self.label[i]) & _similar_sizes(self.size, self.size[i], self.percent))
-            if not len(able):
+            j = lo + np.flatnonzero(right)
+            j = j[self.able(np.full(1, lo + i), j)]
+            if not len(j):
                 continue
-            bits = _bits(self.words[:, able], self.words[:, i : i + 1])
-            near = able[bits <= MOST_BITS]
-            if len(near) > MANY:
-                both = self._shared(i)[near]
-                near = near[100 * both >= self.percent * (self.size[near] + self.size[i] - both)]
-            for j in near.tolist():
-                if self.label[i] != self.label[j] and (len(near) > MANY or _are_similar(self._set(i), self._set(j), self.percent)):
-                    out.append((min(self.ids[i], self.ids[j]), max(self.ids[i], self.ids[j])))
-                    self.label[self.label == self.label[j]] = self.label[i]
-        return out
-
-
-def _whole(k: int, percent: int):
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        region = _Region(group, k, percent)
-        names, sizes = np.unique(region.label, return_counts=True)
-        every = np.ones(len(region.ids), bool)
-        return pd.DataFrame(region.links(region.label != names[sizes.argmax()], every), columns=["a", "b"])
-
-    return search
-
-
-def _cell(k: int, percent: int):
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        sides = group.groupby("id")[["left", "right"]].any()
-        region = _Region(group, k, percent)
-        return pd.DataFrame(region.links(sides["left"].to_numpy(), sides["right"].to_numpy()), columns=["a", "b"])
-
-    return search
+            self.fetch(np.append(j, lo + i))
+            if len(j) > MANY:
+                if postings is None:
+                    postings = self._postings(lo, hi)
+                both = self._shared(lo, hi, lo + i, *postings)[j - lo]
+                j = j[100 * both >= self.percent * (self.size[j] + self.size[lo + i] - both)]
+                exact = True
+            else:
+                exact = False
+            for b in j.tolist():
+                if label[lo + i] != label[b] and (exact or self.similar(lo + i, b)):
+                    yield lo + i, b
+                    own = label[lo:hi]
+                    own[own == label[b]] = label[lo + i]
+
+    def _postings(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        self.fetch(np.arange(lo, hi))
+        every = np.concatenate([self.sets[self.frames[r]] for r in range(lo, hi)])
+        order = np.argsort(every, kind="stable")
+        return every[order], np.repeat(np.arange(hi - lo), [len(self.sets[self.frames[r]]) for r in range(lo, hi)])[order]
+
+    def _shared(self, lo: int, hi: int, i: int, values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The sizes of the intersections of the set of row i with all sets of its group."""
+        own = self.sets[self.frames[i]]
+        first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        counts = last - first
+        places = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        return np.bincount(owner[places], minlength=hi - lo)
+
+
+#: A shared region that is not known, of ids that repeat.
+NO_KEY = 0
+SMALL = 12
+
+
+def _columns_of(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    n = b.num_rows
+    plain = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "id", "component", "size", "tree", "left", "right")}
+    frames = np.empty(n, object)
+    frames[:] = b.column("packed").to_pylist()
+    wide = {"sig": np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint64).reshape(n, WIDTH // 8), "keys": np.frombuffer(b"".join(b.column("keys").to_pylist()), np.uint32).reshape(n, N_TREES)}
+    return plain | wide | {"packed": frames}
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of sorted regions or cells (key, i, j); a group that goes on in the next batch waits for it."""
+
+    def links(columns: dict[str, np.ndarray], bounds: np.ndarray) -> pa.RecordBatch:
+        members = _Members(columns, k, percent)
+        sizes = np.diff(bounds)
+        found: list[tuple[int, int]] = []
+        for n in np.unique(sizes).tolist():
+            starts = bounds[:-1][sizes == n]
+            if 1 < n <= SMALL:
+                found += members.small(starts, n)
+            elif n > 1:
+                for lo in starts.tolist():
+                    found += members.large(lo, lo + n)
+                    members.sets.clear()
+        x, y = (members.ids[np.array([f[c] for f in found], np.int64)] for c in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    held: list[dict[str, np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = _columns_of(b)
+        if held and all(held[-1][c][-1] == now[c][0] == now[c][-1] for c in ("key", "i", "j")):
+            held.append(now)
+            continue
+        every = [*held, now]
+        columns = {c: np.concatenate([x[c] for x in every]) for c in now}
+        new = np.any([columns[c][1:] != columns[c][:-1] for c in ("key", "i", "j")], axis=0)
+        bounds = np.concatenate([[0], np.flatnonzero(new) + 1])
+        if len(bounds) > 1:
+            yield links({c: v[: bounds[-1]] for c, v in columns.items()}, bounds)
+        held = [{c: v[bounds[-1] :] for c, v in columns.items()}]
+    if held:
+        columns = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+        yield links(columns, np.array([0, len(columns["id"])]))
 
 
 def _text_key(text: str) -> F.Column:
@@ -245,39 +303,43 @@ class Forest:
         """(node, component) of all linked classes."""
         near = materialize(self.neighbours(), "neighbours")
         texts = materialize(self._texts(near.select(F.col("a").alias("id")).union(near.select("b")).distinct()), "neighbour-texts")
-        links = self.confirmed(near.filter(F.col("tree") < FIRST_ORDERS), texts)
-        found = components(links)
+        found = components(self.confirmed(near.filter(F.col("tree") < FIRST_ORDERS), texts))
         more = near.filter(F.col("tree") >= FIRST_ORDERS)
         for end in ("a", "b"):
             more = more.join(found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
         apart = more.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-        links = links.union(self.confirmed(apart, texts))
-        return components(links.union(self.across(components(links))))
+        found = extended(found, self.confirmed(apart, texts))
+        return extended(found, self.across(found))
 
     def across(self, found: DataFrame) -> DataFrame:
         """Links between the components `found`, from all regions that hold two or more of them."""
         named = self.nodes.select("id", "size", "keys").join(found.withColumnRenamed("node", "id"), "id", "left")
-        spread = named.select("id", "size", F.coalesce("component", "id").alias("component"), F.explode("keys").alias("key"))
+        spread = named.select("id", "size", F.coalesce("component", "id").alias("component"), F.posexplode("keys").alias("tree", "key"))
         regions = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
         regions = materialize(regions.filter("lo <> hi").select("key", "n", "shingles"), "open-regions")
-        rest = materialize(spread.select("key", "id", "component").join(regions, "key"), "open-members")
+        rest = materialize(spread.select("key", "tree", "id", "component").join(regions, "key"), "open-members")
         ids = rest.select("id").distinct()
-        full = self.nodes.select("id", "sig", "size").join(self._texts(ids), "id")
+        # the low halves of all region keys tell in which tree two texts meet first; an id that repeats has none
+        half = F.transform("keys", lambda x: F.substring(F.unhex(F.lpad(F.hex(x), 16, "0")), 5, 4))
+        repeats = self.nodes.groupBy("id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("id", "times")
+        full = self.nodes.join(ids, "id", "left_semi").join(repeats, "id", "left")
+        joined = F.when(F.col("times").isNull(), F.aggregate(half, F.expr("X''"), lambda acc, x: F.concat(acc, x))).otherwise(F.lit(bytes(4 * N_TREES)))
+        full = full.select("id", "sig", "size", joined.alias("keys")).join(self._texts(ids), "id")
         blocks = F.ceil(F.greatest(F.col("n") / REGION_LIMIT, F.col("shingles") / REGION_SHINGLES))
         rest = materialize(rest.withColumn("blocks", blocks).drop("n", "shingles").join(full, "id"), "open-texts")
-        k, percent = self.k, self.percent
-        links = rest.filter("blocks = 1").groupBy("key").applyInPandas(_whole(k, percent), "a long, b long")
+        zero, yes = F.lit(0).cast("long"), F.lit(True)
+        whole = rest.filter("blocks = 1").withColumns({"i": zero, "j": zero, "left": yes, "right": yes})
         big = rest.filter("blocks > 1")
-        if not big.limit(1).count():
-            return materialize(links, "links")
         main = big.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "component")).alias("m"))
         big = big.join(main.select("key", F.col("m.component").alias("main")), "key").withColumn("at", F.pmod(F.xxhash64("id"), "blocks"))
-        outside, every = F.col("component") != F.col("main"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        outside, every = F.col("component") != F.col("main"), F.sequence(zero, F.col("blocks") - 1)
         # a member is on the right of the cells (i, at), and outside the main component on the left of the cells (at, j)
-        right = big.withColumns({"j": F.col("at"), "i": F.explode(every), "right": F.lit(True)}).withColumn("left", outside & (F.col("i") == F.col("at")))
-        left = big.filter(outside).withColumns({"i": F.col("at"), "j": F.explode(every), "right": F.lit(False), "left": F.lit(True)}).filter("i <> j")
-        cells = right.unionByName(left).drop("blocks", "at", "main")
-        return materialize(links.union(cells.groupBy("key", "i", "j").applyInPandas(_cell(k, percent), "a long, b long")), "links")
+        right = big.withColumns({"j": F.col("at"), "i": F.explode(every), "right": yes}).withColumn("left", outside & (F.col("i") == F.col("at")))
+        left = big.filter(outside).withColumns({"i": F.col("at"), "j": F.explode(every), "right": F.lit(False), "left": yes}).filter("i <> j")
+        cells = whole.unionByName(right.unionByName(left).drop("at", "main")).drop("blocks")
+        cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        k, percent = self.k, self.percent
+        return materialize(cells.mapInArrow(freed(lambda bs: _search(bs, k, percent)), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

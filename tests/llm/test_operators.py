@@ -516,6 +516,22 @@ def test_near_duplicates(monkeypatch, docs, texts, limit):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root[r.doc_id], root[r.doc_id] == r.doc_id)
 
 
+def test_components(spark):
+    """A long path, stars and cycles, whole and in two steps, against a plain search."""
+    from lodestar.llm.components import components, extended
+
+    rnd = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 9)] + [(rnd.randrange(200, 260), rnd.randrange(200, 260)) for _ in range(30)]
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    df = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    assert {(r.node, r.component) for r in components(df(edges)).collect()} == set(root.items())
+    rnd.shuffle(edges)
+    assert {(r.node, r.component) for r in extended(components(df(edges[:40])), df(edges[40:])).collect()} == set(root.items())
+
+
 def test_near_duplicates_odd(empty, odd):
     assert minhash_forest.drop_near_duplicates(empty).count() == 0
     assert minhash_forest.drop_near_duplicates(odd).count() == 2
