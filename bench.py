@@ -20,7 +20,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.files.maxPartitionBytes", "4m").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    from lodestar.plans.catalog import QUERIES
+    from lodestar.plans.every import QUERIES
 
     spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     took = {}

@@ -39,6 +39,18 @@ def parent_child_chunks(docs: DataFrame, parent: int = 512, child: int = 128, pa
     return c.select("doc_id", "parent_index", "child_index", F.size(words).alias("n_words"), F.array_join(words, " ").alias("text"), F.size("pw").alias("parent_words"))
 
 
+def parents(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
+    """(doc_id, parent_index, parent_text): the windows that parent_child_chunks() cuts its children from."""
+    w = docs.select("doc_id", plain_words("text").alias("w"))
+    p = w.select("doc_id", "w", F.posexplode(window_starts(F.size("w"), size, min(overlap, size - 1))).alias("parent_index", "ps"))
+    return p.select("doc_id", "parent_index", F.array_join(F.slice("w", F.col("ps") + 1, F.lit(size)), " ").alias("parent_text"))
+
+
+def with_parent_text(children: DataFrame, parent_rows: DataFrame) -> DataFrame:
+    """Children with the text of their parent; parents are a table of their own, so no text is kept once a child."""
+    return children.join(parent_rows, ["doc_id", "parent_index"])
+
+
 def character_slices(docs: DataFrame, size: int = 1000) -> DataFrame:
     starts = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1, F.lit(size))).otherwise(F.expr("cast(array() as array<int>)"))
     cut = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.posexplode(starts).alias("slice_index", "at"))

@@ -108,3 +108,63 @@ def render(items: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
     line = F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("] (score: "), F.format_string("%.3f", F.col("score")), F.lit(")\n"), F.col("text"))
     numbered = items.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("seq"))).select("qid", "pos", line.alias("line"))
     return numbered.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), separator).alias("context"))
+
+
+def keep(items: DataFrame, predicate: Callable[[DataFrame], Column] | Column) -> DataFrame:
+    """The items for which the predicate holds; null counts as not."""
+    return items.filter(predicate(items) if callable(predicate) else predicate)
+
+
+def filter_by_score(items: DataFrame, least: float) -> DataFrame:
+    return keep(items, F.col("score") >= least)
+
+
+def filter_by_source(items: DataFrame, sources: list[str]) -> DataFrame:
+    return keep(items, F.col("source").isin(sources) if sources else F.lit(False))
+
+
+def citations(items: DataFrame, length: int = 200, digits: int = 3) -> DataFrame:
+    """(qid, number, source, chunk_id, excerpt, score): items numbered in order, their texts cut."""
+    number = F.row_number().over(Window.partitionBy("qid").orderBy("seq"))
+    return items.select("qid", number.alias("number"), "source", "chunk_id", F.expr(f"substring(text, 1, {length})").alias("excerpt"), F.round("score", digits).alias("score"))
+
+
+def pipe(items: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The steps one after another."""
+    for step in steps:
+        items = items.transform(step)
+    return items
+
+
+def resolve_groups(items: DataFrame, resolve: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """Items that share a source, or without one a chunk id, are replaced by what `resolve` returns for them; single items stay.
+
+    A group is one query's few items of one source; `resolve` gets them in
+    order and returns rows of the same columns.
+    """
+    key = F.coalesce(F.when(F.col("source") != "", F.col("source")), F.col("chunk_id"), F.lit(""))
+    counted = items.withColumn("_key", key).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("qid", "_key")))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return resolve(group.sort_values("seq").drop(columns=["_key", "_n"]))
+
+    merged = counted.filter("_n > 1").groupBy("qid", "_key").applyInPandas(run, items.schema)
+    return counted.filter("_n = 1").drop("_key", "_n").unionByName(merged)
+
+
+def summary(items: DataFrame) -> DataFrame:
+    """(qid, n_items, n_sources, total_tokens, mean_score) of each window."""
+    return items.groupBy("qid").agg(
+        F.count(F.lit(1)).alias("n_items"), F.count_distinct("source").alias("n_sources"), F.sum("token_count").alias("total_tokens"), F.round(F.avg("score"), 6).alias("mean_score")
+    )
+
+
+def prompt(questions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(qid, prompt): the question (qid, text) after its rendered context (qid, context); without one the fixed message alone."""
+    both = questions.join(contexts, "qid", "left")
+    asked = F.concat(F.lit("Context:\n"), F.col("context"), F.lit("\n\nQuestion: "), F.col("text"))
+    return both.select("qid", F.when(F.coalesce("context", F.lit("")) == "", F.lit(NO_CONTEXT)).otherwise(asked).alias("prompt"))
+
+
+#: What stands for an answer where nothing was retrieved.
+NO_CONTEXT = "No relevant context was found for this question."

@@ -48,6 +48,13 @@ def contains_personal(text: Column, kinds: list[str] | None = None) -> Column:
     return out
 
 
+def redact_detailed(docs: DataFrame) -> DataFrame:
+    """(doc_id, original, redacted, n_matches, kinds) of (doc_id, text); kinds are sorted."""
+    n = sum((count_personal(F.col("text"), k) for k in PERSONAL), F.lit(0))
+    kinds = F.sort_array(F.array_compact(F.array(*[F.when(contains_personal(F.col("text"), [k]), F.lit(k)) for k in PERSONAL])))
+    return docs.select("doc_id", F.col("text").alias("original"), redact(F.col("text")).alias("redacted"), n.alias("n_matches"), kinds.alias("kinds"))
+
+
 def personal_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, start, end): offsets need a function over the text."""
 

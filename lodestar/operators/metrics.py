@@ -55,6 +55,12 @@ def faithfulness(pairs: DataFrame) -> DataFrame:
     return t.select("id", F.round(uni, 4).alias("unigram"), F.round(bi, 4).alias("bigram"))
 
 
+def summary(per_query: DataFrame) -> DataFrame:
+    """The mean of each metric over the queries, and their number."""
+    names = [c for c in per_query.columns if c != "qid"]
+    return per_query.agg(*[F.round(F.avg(c), 4).alias(c) for c in names], F.count(F.lit(1)).alias("n"))
+
+
 def lcs_length(a: list[str], b: list[str]) -> int:
     """Longest common subsequence, by bit vectors."""
     where: dict[str, int] = {}

@@ -13,6 +13,8 @@ from ..functions.text import tokens, unit
 
 #: Rows of a query set that travel with each pass over the vectors.
 QUERY_BLOCK = 1024
+#: Vectors that meet a block of queries in one task.
+VECTOR_CHUNK = 50_000
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score", key: str = "qid", tie: str = "doc_id") -> DataFrame:
@@ -30,15 +32,24 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qid, doc_id, score, rank); queries (qid, text). Query terms keep their multiplicity; scores above 0 only.
 
-    Documents are scanned once for their lengths and once for the postings of
-    the queries' terms: others are dropped before any shuffle of postings.
+    Documents are tokenised once, to their lengths and the postings of the
+    queries' terms; others are dropped before any shuffle of postings.
     """
-    asked = queries.select("qid", F.explode(tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qn"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens("text"))).alias("avgdl"))
-    wanted = asked.select("term").distinct()
-    t = docs.select("doc_id", tokens("text").alias("toks"))
-    hits = t.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(wanted, "term", "left_semi")
-    hits = hits.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    asked = asked_terms(queries)
+    # as one array of (term, tf) a document: terms are counted where the text is
+    counted = docs.select("doc_id", tokens("text").alias("toks")).select("doc_id", F.size("toks").alias("dl"), "toks")
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    hits = counted.select("doc_id", "dl", F.explode("toks").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    return score_postings(hits.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")), stats, asked, k, k1, b)
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(qid, term, qn) of queries (qid, text)."""
+    return queries.select("qid", F.explode(tokens("text")).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qn"))
+
+
+def score_postings(hits: DataFrame, stats: DataFrame, asked: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """BM25 over the postings (doc_id, term, dl, tf) of the asked terms; stats is one row (n, avgdl)."""
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
@@ -50,31 +61,31 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: fl
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """(qid, doc_id, score, rank) by cosine; vectors (doc_id, embedding), queries (qid, embedding).
 
-    The filter comes before scoring, so it reaches the scan. Queries go in
-    blocks of a fixed number of rows; each block is one matrix product per
-    batch of vectors, and each task keeps k rows a query.
+    The filter comes before scoring, so it reaches the scan. One block of
+    queries, a fixed number of rows, goes to every task with the code. More are
+    a table: chunks of vectors meet blocks of queries in tasks of bounded size.
+    Each task keeps k rows a query.
     """
     if where is not None:
         vectors = vectors.filter(where)
-    out = None
-    for ids, matrix in _blocks(queries, block):
-        part = vectors.select("doc_id", "embedding").mapInPandas(_scorer(ids, matrix, k), "qid long, doc_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "qid long, doc_id long, score double, rank int")
-    return top_k(out, k)
-
-
-def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows = [], []
-    for r in queries.select("qid", "embedding").toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == block:
-            yield np.array(ids), _unit_rows(rows)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), _unit_rows(rows)
+    schema = "qid long, doc_id long, score double"
+    vectors, queries = vectors.select("doc_id", "embedding"), queries.select("qid", "embedding")
+    first = queries.limit(block + 1).collect()  # bounded
+    if not first:
+        return vectors.sparkSession.createDataFrame([], f"{schema}, rank int")
+    if len(first) <= block:
+        ids, matrix = np.array([r[0] for r in first]), _unit_rows([r[1] for r in first])
+        return top_k(vectors.mapInPandas(_scorer(ids, matrix, k), schema), k)
+    n_blocks, n_chunks = -(-queries.count() // block), max(1, -(-vectors.count() // VECTOR_CHUNK))
+    deal = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("long"))
+    left = deal(vectors, "doc_id", "chunk", n_chunks, "block", n_blocks).groupBy("chunk", "block")
+    right = deal(queries, "qid", "block", n_blocks, "chunk", n_chunks).groupBy("chunk", "block")
+
+    def score(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        found = list(_scorer(q["qid"].to_numpy(), _unit_rows(q["embedding"].tolist()), k)(iter([v]))) if len(q) else []
+        return found[0] if found else pd.DataFrame({"qid": [], "doc_id": [], "score": []}).astype({"qid": "int64", "doc_id": "int64", "score": "float64"})
+
+    return top_k(left.cogroup(right).applyInPandas(score, schema), k)
 
 
 def _unit_rows(rows: list) -> np.ndarray:

@@ -1,10 +1,7 @@
-"""All registered queries of the engine and their SQL, each over whole tables."""
+"""Queries over sources, chunks, retrieval, metrics, context, corpus quality, guardrails, agents, graph and stores, each over whole tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -12,35 +9,7 @@ from ..functions.lineage import written
 from ..operators import agents, chunking, context, corpus, graph, guardrails, metrics, retrieval, stores
 from ..sources import loaders
 from ..streaming import incremental
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of (read) under its name; `read` opens a table."""
-
-    def add(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        QUERIES[fn.__name__] = run
-        if sql:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-# Pieces of SQL that several queries share.
-TOKS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
-WORDS = r"list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> '')"
-PLAIN = r"list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')"
-
-
-def words_sql(c: str = "text") -> str:
-    return WORDS.format(c)
-
+from .base import PLAIN, TOKS, query, words_sql
 
 # ---- sources ----
 
@@ -210,11 +179,6 @@ def faithfulness(read):
     return metrics.faithfulness(_turns(read))
 
 
-@query()
-def rouge_l(read):
-    return metrics.rouge_l(_turns(read).withColumnRenamed("source", "reference"))
-
-
 # ---- context windows: ten BM25 results of each item ----
 
 ITEMS = f"""{BM25}, items AS (SELECT bm.qid, CAST(bm.rank AS INT) AS seq, d.text, bm.score, d.source, d.doc_id || ':0' AS chunk_id, CAST(greatest(1, length(d.text) // 4) AS INT) AS token_count
@@ -237,11 +201,6 @@ def context_dedup_hash(read):
     return context.dedup_hash(_context(read)).select("qid", "seq")
 
 
-@query()
-def context_dedup_jaccard(read):
-    return context.dedup_jaccard(_context(read)).select("qid", "seq")
-
-
 @query(f"""WITH {ITEMS} SELECT qid, seq, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq) AS INT) AS relevance,
 CAST(row_number() OVER (PARTITION BY qid ORDER BY len(list_distinct({words_sql()})) / greatest(1, token_count) DESC, seq) AS INT) AS density, CAST(row_number() OVER (PARTITION BY qid ORDER BY chunk_id, seq) AS INT) AS position FROM items""")
 def context_prioritize(read):
@@ -251,11 +210,6 @@ def context_prioritize(read):
     return context.ranked(out, "position").select("qid", "seq", "relevance", "density", F.col("pos").alias("position"))
 
 
-@query()
-def context_diversity(read):
-    return context.ranked_diverse(_context(read)).select("qid", "seq", "pos")
-
-
 @query(f"""WITH {ITEMS} SELECT qid, seq, CASE WHEN token_count > 200 AND length(text) > 800 THEN substr(text, 1, 800) || '...' ELSE text END AS text, CAST(least(token_count, 200) AS INT) AS token_count FROM items""")
 def context_compress(read):
     return context.compress(_context(read), 200).select("qid", "seq", "text", "token_count")
@@ -365,11 +319,6 @@ def redaction(read):
     return read("documents").select("doc_id", F.md5(guardrails.redact(F.col("text"))).alias("redacted_md5"))
 
 
-@query()
-def personal_spans(read):
-    return guardrails.personal_spans(read("documents"))
-
-
 INJECTED = " + ".join(f"CASE WHEN regexp_matches(text, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN {w} ELSE 0 END" for _, p, w in guardrails.INJECTION)
 
 
@@ -438,21 +387,6 @@ def _overlap_sql(a: str, b: str) -> str:
     return f"CASE WHEN len({x}) > 0 THEN len(list_intersect({x}, {y})) / len({x}) ELSE 0 END"
 
 
-OPINIONS = " OR ".join(f"contains(lower(source), '{c}')" for c in agents.OPINION)
-
-
-@query(f"""WITH t AS ({TURNS}), s AS (SELECT id, NOT ({OPINIONS}) AS retrieve, {_overlap_sql('source', 'answer')} > 0.2 AS relevant, {_overlap_sql('answer', 'source')} AS sup, length(answer) AS n FROM t),
-l AS (SELECT id, retrieve, relevant, CASE WHEN sup > 0.5 THEN 'full' WHEN sup > 0.25 THEN 'partial' ELSE 'none' END AS support, CASE WHEN n > 200 THEN 4 WHEN n > 50 THEN 3 ELSE 2 END AS usefulness FROM s)
-SELECT *, round(least(1.0, CAST(CASE support WHEN 'full' THEN 0.4 WHEN 'partial' THEN 0.2 ELSE 0 END AS DOUBLE) + (usefulness - 1) / 4 * CAST(0.4 AS DOUBLE) + CASE WHEN relevant THEN CAST(0.2 AS DOUBLE) / 3 ELSE 0 END), 6) AS confidence FROM l""")
-def self_reflection(read):
-    t = _turns(read)
-    pairs = t.select("id", F.col("source").alias("question"), F.col("answer").alias("passage"), "answer")
-    # the question stands for the passage that supports the answer
-    return agents.reflect(pairs.withColumn("passage", F.col("question"))).drop("relevant").join(
-        t.select("id", (agents.overlap(F.col("source"), F.col("answer")) > 0.2).alias("relevant")), "id"
-    ).withColumn("confidence", F.round(F.least(F.lit(1.0), F.when(F.col("support") == "full", 0.4).when(F.col("support") == "partial", 0.2).otherwise(0.0) + (F.col("usefulness") - 1) / 4 * 0.4 + F.when(F.col("relevant"), F.lit(0.2) / 3).otherwise(0.0)), 6))
-
-
 @query(rf"""WITH t AS ({TURNS}), c AS (SELECT id, source, unnest(string_split(regexp_replace(answer, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS claim FROM t),
 b AS (SELECT id, {_overlap_sql('claim', 'source')} AS best FROM c WHERE length(regexp_replace(claim, '^\s+|\s+$', '', 'g')) > 10)
 SELECT id, count(*) AS n_claims, count(*) FILTER (best >= 0.5) AS n_supported, round(avg(best), 6) AS confidence FROM b GROUP BY id""")
@@ -510,12 +444,6 @@ def entities(read):
     return graph.typed_entities(read("documents"))
 
 
-@query()
-def entity_cooccurrence(read):
-    docs = read("documents")
-    return graph.cooccurrence(docs, graph.entities(docs))
-
-
 @query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT name, list_distinct(list_transform(range(1, length(name)), lambda i: substr(lower(name), i, 2))) AS g FROM n),
 p AS (SELECT a.name AS a, b.name AS b, round(2 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)), 6) AS dice FROM g a JOIN g b ON a.name < b.name)
 SELECT 'part' AS kind, a, b, dice FROM p WHERE dice >= 0.85""")
@@ -523,11 +451,6 @@ def entity_resolution(read):
     return graph.similar_names(read("part").select(F.lit("part").alias("kind"), F.col("p_name").alias("name")))
 
 
-@query()
-def communities(read):
-    return graph.communities(_key_edges(read).withColumn("weight", F.lit(1.0)), write=written)
-
-
 @query(f"""WITH {BM25}, {DENSE.format('q.vec_id IN (SELECT item_id FROM benchmark) AND e.vec_id IN (SELECT doc_id FROM documents)')},
 g AS (SELECT qid, CAST(doc_id AS VARCHAR) AS key, CAST(0.4 AS DOUBLE) * score / max(score) OVER (PARTITION BY qid) AS s FROM bm WHERE rank <= 5), v AS (SELECT qid, CAST(doc_id AS VARCHAR) AS key, CAST(0.6 AS DOUBLE) * score AS s FROM dn WHERE rank <= 5)
 SELECT qid, key, round(sum(s), 6) AS score FROM (SELECT * FROM g UNION ALL SELECT * FROM v) GROUP BY qid, key""")

@@ -121,9 +121,41 @@ def rows_to_text(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.concat_ws(" | ", *parts)
 
 
-def read_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, separator: str = ",", one_document: bool = False) -> DataFrame:
+    """A document a row, or one a file with its rows in order."""
     df = spark.read.csv(path, header=True, sep=separator)
-    return df.select(rows_to_text(df).alias("content")).select(document_id("content").alias("doc_id"), "content")
+    if not one_document:
+        return df.select(rows_to_text(df).alias("content")).select(document_id("content").alias("doc_id"), "content")
+    rows = df.select(rows_to_text(df).alias("line"), F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("at"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
+    return rows.groupBy("source").agg(F.array_join(lines, "\n").alias("content")).select(document_id("content").alias("doc_id"), "content")
+
+
+def scan_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(source, content) of the text files that match a path or glob; blank ones are skipped, broken bytes replaced."""
+    rows = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return rows.filter(F.coalesce(F.length(F.regexp_replace("content", r"\s+", "")), F.lit(0)) > 0)
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, question, answer, relevant) of a JSON array or of JSON lines; fields that are missing are null."""
+    schema = "qid string, question string, answer string, relevant array<string>"
+    head = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    array = bool(head) and head[0][0].lstrip().startswith("[")
+    return spark.read.schema(schema).option("multiLine", array).json(path).filter("question is not null")
+
+
+#: The namespace of addresses, of version 5 identifiers.
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5(name: Column | str, namespace: str = URL_NAMESPACE) -> Column:
+    """The version 5 identifier of a name: the same name has the same, so that writing a point again replaces it."""
+    text = F.col(name) if isinstance(name, str) else name
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(text, "UTF-8")))
+    variant = F.substr(F.lit("89ab"), F.conv(F.substr(h, F.lit(17), F.lit(1)), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    part = lambda at, n: F.substr(h, F.lit(at), F.lit(n))
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
 
 
 def video_id(url: Column | str) -> Column:
