@@ -168,8 +168,8 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
 _SPAN_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, carry: list[str] | None = None) -> DataFrame:
-    """`row` (all columns of docs, or those in `carry`), n_words, spans (of hit words), items (ids as strings, sorted).
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, carry: list[str] | None = None, cut: bool = False) -> DataFrame:
+    """`row` (all columns of docs, or those in `carry`), n_words, spans (of hit words), items (ids as strings, sorted), and with `cut` the text without the spans.
 
     A null or empty text has no words and no hits. Items without words match
     nothing; items that repeat each count by their id. Without items nothing
@@ -183,10 +183,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     found = [T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))]
     schema = T.StructType([src.schema["row"], T.StructField("text", T.StringType()), *found])
 
-    def scan(automaton: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def scan(automaton: Broadcast | None, last: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                counts, spans, names = [], [], []
+                counts, spans, names, left = [], [], [], []
                 before = zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True) if "spans" in b.schema.names else itertools.repeat(([], []))
                 for t, (old_spans, old_names) in zip(b.column("text"), before):
                     words = words_of(t.as_py())
@@ -195,7 +195,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
                     hits = _merged([*((s["start"], s["end"]) for s in old_spans), *hits]) if hits else [(s["start"], s["end"]) for s in old_spans]
                     spans.append([{"start": s, "end": e} for s, e in hits])
                     names.append(sorted({*old_names, *(automaton.value.names[k] for k in ks)}) if ks else old_names)
-                cols = [b.column("row"), b.column("text"), pa.array(counts, pa.int64()), pa.array(spans, _SPAN_ARROW), pa.array(names, pa.list_(pa.string()))]
+                    if last:
+                        left.append(None if not cut else cut_words(t.as_py(), hits) if hits else t.as_py())
+                cols = [b.column("row"), pa.array(left, pa.string()) if last else b.column("text"), pa.array(counts, pa.int64()), pa.array(spans, _SPAN_ARROW), pa.array(names, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
         return freed(run)
@@ -207,7 +209,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
             held.destroy()
             discard(spark, last)
         held = spark.sparkContext.broadcast(Automaton(block, window))
-    return src.mapInArrow(scan(held), schema).drop("text")
+    found = src.mapInArrow(scan(held, last=True), schema)
+    return found if cut else found.drop("text")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -235,17 +238,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", win
 
     Untouched texts stay as they are, null ones too.
     """
-    found = find_contamination(docs, items, text_col=text_col, window=window)
+    found = find_contamination(docs, items, text_col=text_col, window=window, cut=True)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     kept = found.filter((F.size("spans") == 0) | (n_hit <= max_coverage * F.col("n_words")))
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        return texts.combine(spans, lambda t, s: cut_words(t, [(x["start"], x["end"]) for x in s]) if t is not None and len(s) else t)
-
-    column = F.col("row").getField(text_col)
-    new = F.when(F.size("spans") > 0, cut(column, F.col("spans"))).otherwise(column)
-    return kept.select(*[new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
