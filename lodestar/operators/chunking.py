@@ -57,6 +57,7 @@ def character_slices(docs: DataFrame, size: int = 1000) -> DataFrame:
     return cut.select("doc_id", "slice_index", F.expr(f"substring(text, at + 1, {size})").alias("text"))
 
 
+# Where texts are cut, in the order in which it is tried.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 

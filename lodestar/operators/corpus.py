@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import strip, words
 
 # Words that term statistics leave out.
-STOPWORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might shall can to of in for "
-    "on with at by from as into through during before after above below between under again further then once here there when where why "
-    "how all each every both few more most other some such no nor not only own same so than too very and but or if it its this "
-    "that these those i me my we our you your he him his she her they them their what which who whom"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during", "before",
+    "after", "above", "below", "between", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "each",
+    "every", "both", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "and",
+    "but", "or", "if", "it", "its", "this", "that", "these", "those", "i", "me", "my", "we", "our", "you", "your", "he", "him", "his", "she", "her",
+    "they", "them", "their", "what", "which", "who", "whom",
+]
 
 
 def term_rows(docs: DataFrame) -> DataFrame:
@@ -54,18 +56,19 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return keyed.join(first, "key").filter("doc_id <> first").select(*_issue("duplicate", "high", F.col("first")))
 
 
-def near_duplicates(docs: DataFrame, span: int = 49, limit: float = 0.85) -> DataFrame:
+def near_duplicates(docs: DataFrame, span: int = 49, limit: float = 0.85, place: str = "doc_id") -> DataFrame:
     """Pairs among each document and the next `span`, by Jaccard of their words, without pairs of a copy and its first.
 
-    Places are dealt to cells as wide as the span, so candidates meet by an
+    `place` names the column that numbers documents in their order of arrival;
+    ids that are given without gaps are one. Places are dealt to cells as wide as the span, so candidates meet by an
     equi-join; a pair over the limit needs sizes in the ratio of the limit, and
     is then counted by a join of its shared words.
     """
-    sets = docs.select("doc_id", F.array_distinct(words("text")).alias("w")).withColumn("n", F.size("w")).filter("n > 0")
-    placed = sets.withColumn("cell", F.floor(F.col("doc_id") / (span + 1)))
-    a = placed.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("w").alias("wa"), "cell")
-    b = placed.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("w").alias("wb"), F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell"))
-    close = (F.col("b") > F.col("a")) & (F.col("b") <= F.col("a") + span)
+    sets = docs.select("doc_id", F.col(place).alias("p"), F.array_distinct(words("text")).alias("w")).withColumn("n", F.size("w")).filter("n > 0")
+    placed = sets.withColumn("cell", F.floor(F.col("p") / (span + 1)))
+    a = placed.select(F.col("doc_id").alias("a"), F.col("p").alias("pa"), F.col("n").alias("na"), F.col("w").alias("wa"), "cell")
+    b = placed.select(F.col("doc_id").alias("b"), F.col("p").alias("pb"), F.col("n").alias("nb"), F.col("w").alias("wb"), F.explode(F.array(F.col("cell"), F.col("cell") - 1)).alias("cell"))
+    close = (F.col("pb") > F.col("pa")) & (F.col("pb") <= F.col("pa") + span)
     ratio = F.least("na", "nb") > limit * F.greatest("na", "nb")
     both = F.size(F.array_intersect("wa", "wb"))
     pairs = a.join(b, "cell").filter(close & ratio).withColumn("both", both).filter(F.col("both") > limit * (F.col("na") + F.col("nb") - F.col("both")))

@@ -133,7 +133,7 @@ def similar_names(names: DataFrame, least: float = 0.85) -> DataFrame:
     return pairs.withColumn("dice", F.round(dice, 6)).filter(F.col("dice") >= least)
 
 
-def communities(edges: DataFrame, turns: int = 10, write=lambda df: df) -> DataFrame:
+def communities(edges: DataFrame, turns: int = 50, write=lambda df: df) -> DataFrame:
     """(node, label) by synchronous label propagation in which a node also votes for its own label; ties to the least label."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).filter("src <> dst")
     both = write(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens, unit
+from ..functions.text import TOKEN, tokens, unit
 
 #: Rows of a query set that travel with each pass over the vectors.
 QUERY_BLOCK = 1024
@@ -32,13 +32,13 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qid, doc_id, score, rank); queries (qid, text). Query terms keep their multiplicity; scores above 0 only.
 
-    Documents are tokenised once, to their lengths and the postings of the
-    queries' terms; others are dropped before any shuffle of postings.
+    Documents are scanned twice, once to count their tokens and once for the
+    postings of the queries' terms; others are dropped before any shuffle.
+    An index keeps both (operators.index).
     """
     asked = asked_terms(queries)
-    # as one array of (term, tf) a document: terms are counted where the text is
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(TOKEN))).alias("avgdl"))
     counted = docs.select("doc_id", tokens("text").alias("toks")).select("doc_id", F.size("toks").alias("dl"), "toks")
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     hits = counted.select("doc_id", "dl", F.explode("toks").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     return score_postings(hits.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")), stats, asked, k, k1, b)
 
@@ -77,7 +77,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 5, where: Column | No
         ids, matrix = np.array([r[0] for r in first]), _unit_rows([r[1] for r in first])
         return top_k(vectors.mapInPandas(_scorer(ids, matrix, k), schema), k)
     n_blocks, n_chunks = -(-queries.count() // block), max(1, -(-vectors.count() // VECTOR_CHUNK))
-    deal = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("long"))
+    deal = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
     left = deal(vectors, "doc_id", "chunk", n_chunks, "block", n_blocks).groupBy("chunk", "block")
     right = deal(queries, "qid", "block", n_blocks, "chunk", n_chunks).groupBy("chunk", "block")
 

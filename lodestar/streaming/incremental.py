@@ -11,8 +11,10 @@ from ..operators.chunking import parent_child_chunks
 
 
 def event_time(events: DataFrame, column: str = "ts") -> DataFrame:
-    """Stored times carry no zone, which watermarks do not take."""
-    return events.withColumn(column, F.col(column).cast("timestamp"))
+    """Stored times carry no zone, which watermarks do not take; in a stream they count as UTC, whatever the session's zone."""
+    if dict(events.dtypes)[column] != "timestamp_ntz" or not events.isStreaming:
+        return events
+    return events.withColumn(column, F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column)).cast("timestamp"))
 
 
 def windowed(events: DataFrame, length: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:

@@ -91,7 +91,7 @@ def test_rounds(spark):
 
     def retrieve(q):
         score = F.when(F.col("text") == "good", 0.9).when(F.contains("text", F.lit("detailed")), 0.5).otherwise(0.1)
-        return q.select("qid", F.explode(F.array(F.lit(7), F.lit(8))).cast("long").alias("doc_id"), score.alias("score")).withColumn("rank", F.lit(1))
+        return q.select("qid", F.explode(F.array(F.lit(7).cast("long"), F.lit(8).cast("long"))).alias("doc_id"), score.alias("score")).withColumn("rank", F.lit(1))
 
     got = {(r.qid, r["round"], r.score) for r in control.retrieve_rounds(questions, retrieve).collect()}
     assert got == {(1, 1, 0.9), (2, 2, 0.5)}
