@@ -115,7 +115,7 @@ r AS (SELECT id, a, b, 0 AS i, list_transform(range(len(b)), lambda j: CAST(0 AS
 SELECT id, a, b, i + 1, list_transform(range(1, len(b) + 1), lambda j: list_max(up[1:j])) FROM
 (SELECT id, a, b, i, list_transform(range(1, len(b) + 1), lambda j: greatest(row[j], coalesce(row[j - 1], 0) + CASE WHEN a[i + 1] = b[j] THEN 1 ELSE 0 END)) AS up FROM r WHERE i < len(a))),
 l AS (SELECT id, len(a) AS na, len(b) AS nb, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE row[len(b)] END AS n FROM r WHERE i = len(a))
-SELECT id, CASE WHEN n = 0 THEN 0.0 ELSE round(n / na, 4) END AS precision, CASE WHEN n = 0 THEN 0.0 ELSE round(n / nb, 4) END AS recall, CASE WHEN n = 0 THEN 0.0 ELSE round(2 * (n / na) * (n / nb) / (n / na + n / nb), 4) END AS f1 FROM l""")
+SELECT id, CASE WHEN n = 0 THEN 0.0 ELSE round_even(n / na, 4) END AS precision, CASE WHEN n = 0 THEN 0.0 ELSE round_even(n / nb, 4) END AS recall, CASE WHEN n = 0 THEN 0.0 ELSE round_even(2 * (n / na) * (n / nb) / (n / na + n / nb), 4) END AS f1 FROM l""")
 def rouge_l(read):
     return metrics.rouge_l(_turns(read).withColumnRenamed("source", "reference"))
 

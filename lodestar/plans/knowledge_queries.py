@@ -198,7 +198,7 @@ def resolved_edges(read):
 
 
 @query(r"""WITH d AS (SELECT a.p_partkey AS doc_id, a.p_name AS x, b.p_name AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)
-SELECT DISTINCT doc_id, least(x, y) AS a, greatest(x, y) AS b FROM d WHERE x <> y AND NOT contains(x, y) AND NOT contains(y, x)""")
+SELECT DISTINCT doc_id, least(x, y) AS a, greatest(x, y) AS b FROM d WHERE x <> y""")
 def entity_cooccurrence(read):
     """A sentence for each two parts that follow one another, names in capitals."""
     p = read("part").select("p_partkey", "p_name")
