@@ -58,6 +58,12 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now; it does so when the driver's JVM collects what referred to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -39,12 +39,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def extended(found: DataFrame, links: DataFrame) -> DataFrame:
-    """The components `found` (node, component) joined by further links (a, b): only the links between them are followed."""
+    """The components `found` (node, component) joined by further links (a, b): only the links between them are followed. `found` is deleted."""
     own = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
     named = links.join(own("a"), "a", "left").join(own("b"), "b", "left")
     named = materialize(named.select("a", "b", F.coalesce("of_a", "a").alias("x"), F.coalesce("of_b", "b").alias("y")), "named-links")
     joined = components(named.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
     new = named.select(F.col("a").alias("node")).union(named.select("b")).distinct().join(found.select("node"), "node", "left_anti")
     every = found.select("node", "component").union(new.select("node", F.col("node").alias("component")))
-    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("least"))
-    return materialize(every.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "labels")
+    least = joined.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    out = materialize(every.join(least, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "labels")
+    for used in (found, named, joined):
+        discard(found.sparkSession, used)
+    return out

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_caches, freed, materialize, row_struct, table, unpack, utf8
+from .common import discard, free_caches, freed, materialize, row_struct, sweep, table, unpack, utf8
 from .components import components, extended
 from .shingles import MinHash, mix, set_digest, shingles_of
 
@@ -272,6 +272,7 @@ class Forest:
         self.k, self.percent = k, percent
         keyed = rows.withColumn("text_key", _text_key("text"))
         self.signed = materialize(keyed.mapInArrow(freed(lambda bs: _signed(bs, k)), _SIGNED), "signatures")
+        self.rows = materialize(self.signed.select("id", "text_key", "n_shingles", "digest"), "shingle-counts")
         found = self.signed.filter("digest is not null")
         classes = found.groupBy("digest").agg(F.min("id").alias("rep")).filter("rep is not null")
         self.classes = materialize(classes, "classes")
@@ -300,8 +301,10 @@ class Forest:
         return materialize(both.mapInArrow(freed(lambda bs: _confirmed(bs, k, percent)), "a long, b long").distinct(), "links")
 
     def run(self) -> DataFrame:
-        """(node, component) of all linked classes."""
+        """(node, component) of all linked classes. Signatures and texts are deleted when they are not read any more."""
+        spark = self.nodes.sparkSession
         near = materialize(self.neighbours(), "neighbours")
+        sweep(spark)
         texts = materialize(self._texts(near.select(F.col("a").alias("id")).union(near.select("b")).distinct()), "neighbour-texts")
         found = components(self.confirmed(near.filter(F.col("tree") < FIRST_ORDERS), texts))
         more = near.filter(F.col("tree") >= FIRST_ORDERS)
@@ -309,7 +312,14 @@ class Forest:
             more = more.join(found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
         apart = more.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
         found = extended(found, self.confirmed(apart, texts))
-        return extended(found, self.across(found))
+        for used in (near, texts):
+            discard(spark, used)
+        sweep(spark)
+        found = extended(found, self.across(found))
+        for used in (self.signed, self.nodes):
+            discard(spark, used)
+        sweep(spark)
+        return found
 
     def across(self, found: DataFrame) -> DataFrame:
         """Links between the components `found`, from all regions that hold two or more of them."""
@@ -326,7 +336,10 @@ class Forest:
         joined = F.when(F.col("times").isNull(), F.aggregate(half, F.expr("X''"), lambda acc, x: F.concat(acc, x))).otherwise(F.lit(bytes(4 * N_TREES)))
         full = full.select("id", "sig", "size", joined.alias("keys")).join(self._texts(ids), "id")
         blocks = F.ceil(F.greatest(F.col("n") / REGION_LIMIT, F.col("shingles") / REGION_SHINGLES))
-        rest = materialize(rest.withColumn("blocks", blocks).drop("n", "shingles").join(full, "id"), "open-texts")
+        members, rest = rest, materialize(rest.withColumn("blocks", blocks).drop("n", "shingles").join(full, "id"), "open-texts")
+        for used in (regions, members):
+            discard(rest.sparkSession, used)
+        sweep(rest.sparkSession)
         zero, yes = F.lit(0).cast("long"), F.lit(True)
         whole = rest.filter("blocks = 1").withColumns({"i": zero, "j": zero, "left": yes, "right": yes})
         big = rest.filter("blocks > 1")
@@ -339,7 +352,9 @@ class Forest:
         cells = whole.unionByName(right.unionByName(left).drop("at", "main")).drop("blocks")
         cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         k, percent = self.k, self.percent
-        return materialize(cells.mapInArrow(freed(lambda bs: _search(bs, k, percent)), "a long, b long"), "links")
+        links = materialize(cells.mapInArrow(freed(lambda bs: _search(bs, k, percent)), "a long, b long"), "links")
+        discard(rest.sparkSession, rest)
+        return links
 
 
 def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,7 +370,7 @@ def near_duplicates(docs: DataFrame, k: int, percent: int = PERCENT, id_col: str
     forest = Forest(rows, k, percent)
     found = forest.run()
     of_class = forest.classes.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class_component"))
-    out = forest.signed.select("id", "text_key", "n_shingles", "digest").join(of_class, "digest", "left")
+    out = forest.rows.join(of_class, "digest", "left")
     component = F.coalesce("class_component", "id")
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_key")
 
