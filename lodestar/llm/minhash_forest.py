@@ -209,6 +209,14 @@ class _Members:
         return np.bincount(owner[places], minlength=hi - lo)
 
 
+#: Ids up to this number (16 MB) go to all tasks, so that only the texts asked for are shuffled; more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
+
+
+def _asked(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
 #: A shared region that is not known, of ids that repeat.
 NO_KEY = 0
 SMALL = 12
@@ -305,7 +313,7 @@ class Forest:
         spark = self.nodes.sparkSession
         near = materialize(self.neighbours(), "neighbours")
         sweep(spark)
-        texts = materialize(self._texts(near.select(F.col("a").alias("id")).union(near.select("b")).distinct()), "neighbour-texts")
+        texts = materialize(self._texts(_asked(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())), "neighbour-texts")
         found = components(self.confirmed(near.filter(F.col("tree") < FIRST_ORDERS), texts))
         more = near.filter(F.col("tree") >= FIRST_ORDERS)
         for end in ("a", "b"):
@@ -328,7 +336,7 @@ class Forest:
         regions = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
         regions = materialize(regions.filter("lo <> hi").select("key", "n", "shingles"), "open-regions")
         rest = materialize(spread.select("key", "tree", "id", "component").join(regions, "key"), "open-members")
-        ids = rest.select("id").distinct()
+        ids = _asked(rest.select("id").distinct())
         # the low halves of all region keys tell in which tree two texts meet first; an id that repeats has none
         half = F.transform("keys", lambda x: F.substring(F.unhex(F.lpad(F.hex(x), 16, "0")), 5, 4))
         repeats = self.nodes.groupBy("id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("id", "times")
