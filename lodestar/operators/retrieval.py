@@ -15,6 +15,8 @@ from ..functions.text import TOKEN, tokens, unit
 QUERY_BLOCK = 1024
 #: Vectors that meet a block of queries in one task.
 VECTOR_CHUNK = 50_000
+#: Scores of one block of queries that a task holds at a time.
+SCORES_AT_ONCE = 2_000_000
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score", key: str = "qid", tie: str = "doc_id") -> DataFrame:
@@ -95,11 +97,11 @@ def _unit_rows(rows: list) -> np.ndarray:
 
 
 def _scorer(ids: np.ndarray, matrix: np.ndarray, k: int) -> Callable:
+    rows = max(1, SCORES_AT_ONCE // max(1, len(ids)))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: pd.DataFrame | None = None
-        for b in batches:
-            if not len(b):
-                continue
+        for b in (whole.iloc[at : at + rows] for whole in batches for at in range(0, len(whole), rows)):
             scores = np.round(matrix @ _unit_rows(b["embedding"].tolist()).T, 6)
             docs = b["doc_id"].to_numpy()
             take = min(k, len(docs))

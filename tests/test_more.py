@@ -1,8 +1,11 @@
 """Operators that have no query of their own: loaders, control on the driver, registries, the index, streams, plans."""
 
 import json
+import tracemalloc
 import uuid
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +188,50 @@ def test_dense_in_blocks(spark):
     assert retrieval.dense(v, q.limit(0), 3).count() == 0
 
 
+def test_dense_holds_a_bounded_number_of_scores():
+    r = np.random.RandomState(5)
+    v, q = r.standard_normal((20_000, 4)), retrieval._unit_rows(r.standard_normal((500, 4)).tolist())
+    whole = pd.DataFrame({"doc_id": np.arange(len(v)), "embedding": list(v)})
+    tracemalloc.start()
+    (found,) = retrieval._scorer(np.arange(500), q, 3)(iter([whole]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6  # 240e6 if all scores are held at once
+    scores = np.round(q @ retrieval._unit_rows(list(v)).T, 6)
+    best = np.lexsort((np.broadcast_to(np.arange(len(v)), scores.shape), -scores), axis=1)[:, :3]
+    assert found["doc_id"].tolist() == best.ravel().tolist()
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+@pytest.mark.parametrize("own", [[], ["dense", "multi_pass"]])
+def test_adaptive_retrieval_in_blocks(spark, broadcast, own):
+    r = np.random.RandomState(7)
+    at = r.standard_normal((60, 4))
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(at)], "doc_id long, embedding array<double>")
+    texts = ["who wrote it", "compare these two", "give an overview"]
+    q = spark.createDataFrame([(i, texts[i % 3], at[i].tolist()) for i in range(0, 60, 2)], "qid long, text string, embedding array<double>")
+    least = {n: 0.1 + 0.3 * k for k, n in enumerate(["hybrid", "multi_pass", "dense"])}  # scores that each retriever takes
+    serve = lambda n: lambda asked, k: retrieval.dense(vectors, asked.join(q.select("qid", "embedding"), "qid"), k, block=5).filter(F.col("score") > least[n])
+    unit = at / np.linalg.norm(at, axis=1, keepdims=True)
+    scores, want, again = np.round(unit @ unit.T, 6), [], 0
+    for i in range(0, 60, 2):
+        how, k = [("dense", 3), ("multi_pass", 8), ("hybrid", 10)][i % 3]
+        for tried in (1, 2):
+            kept = [(i, d, scores[i][d], n, how, tried) for n, d in enumerate(sorted(range(60), key=lambda d: (-scores[i][d], d))[:k], 1) if scores[i][d] > least[how if how in own else "hybrid"]]
+            if tried == 2 or min(len(kept) / 3, 1) * 0.5 + sum(x[2] for x in kept) / len(kept) * 0.5 >= 0.92:
+                break
+            how, k, again = {"dense": "hybrid", "hybrid": "multi_pass", "multi_pass": "hybrid"}[how], k + 2, again + 1
+        want += kept
+    assert 0 < again < 30
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = control.adaptive_retrieve(q.select("qid", "text"), {"hybrid": serve("hybrid")} | {n: serve(n) for n in own}, 0.92).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_semantic_cache_has_no_cross_join(spark):
     v = hash_embed(spark.range(20).select(F.col("id").alias("entry_id"), F.col("id").cast("string").alias("text")), 8).select("entry_id", "embedding").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     q = v.select(F.col("entry_id").alias("qid"), "embedding")
